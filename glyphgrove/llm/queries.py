@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphgrove.llm import components, hidden_duplicates, top_items
+from glyphgrove.llm import components, hidden_duplicates, leakage, tokens, top_items
 from glyphgrove.plans.runtime import table
 
 TOP_N = 10
@@ -36,7 +36,27 @@ def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden_duplicates.collapse(_records(spark, sf_dir), "rec_id", RECORD_FIELDS)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_counts)}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+#: Consecutive words of an item that make a leak, and rare terms and words apart of a proximity match.
+LEAK_WORDS, NEAR_TERMS, NEAR_WORDS = 10, 6, 60
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> leakage.LeakIndex:
+    return leakage.LeakIndex(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).phrases(LEAK_WORDS).withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
+def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).near(NEAR_TERMS, NEAR_WORDS).withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_counts, p7_ids, p8_found, p8_near)}
 
 _NORMAL = "lower(upper(regexp_replace(coalesce({}, ''), '[\\x{{0009}}-\\x{{000D}}\\x{{001C}}-\\x{{0020}}\\x{{0085}}\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}.,;:!?''\"$`]', '', 'g')))"
 _COPIES = f"""

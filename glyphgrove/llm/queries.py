@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphgrove.llm import components, hidden_duplicates, leakage, tokens, top_items
+from glyphgrove.llm import components, hidden_duplicates, leakage, personal, tokens, top_items
 from glyphgrove.plans.runtime import table
 
 TOP_N = 10
@@ -56,7 +56,15 @@ def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).near(NEAR_TERMS, NEAR_WORDS).withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_counts, p7_ids, p8_found, p8_near)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.find_personal(table(spark, sf_dir, "documents")).select("doc_id", "kind", "found").distinct()
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.redact(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_counts, p7_ids, p8_found, p8_near, p9_found, p9_redacted)}
 
 _NORMAL = "lower(upper(regexp_replace(coalesce({}, ''), '[\\x{{0009}}-\\x{{000D}}\\x{{001C}}-\\x{{0020}}\\x{{0085}}\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}.,;:!?''\"$`]', '', 'g')))"
 _COPIES = f"""

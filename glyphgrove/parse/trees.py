@@ -132,7 +132,11 @@ def nodes(root: Tree) -> list[Node]:
 
 def height(root: Tree) -> int:
     """Edges on the longest way down."""
-    return max(len(p) for p, _ in visit(root))
+    most, level = -1, [root]
+    while level:
+        most += 1
+        level = [c for n in level for c in n.edges.values()]
+    return most
 
 
 def copy(root: Tree) -> Tree:

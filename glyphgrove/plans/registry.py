@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphgrove.plans import hygiene
+from glyphgrove.plans import hygiene, retrieval
 
-_MODULES = (hygiene,)
+_MODULES = (retrieval, hygiene)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p6_found"](spark, sf_dir)
+    return queries()["slt_dice_topk"](spark, sf_dir)

@@ -27,7 +27,7 @@ def merge_models(layout: DataFrame, operator: DataFrame, *, item: str = "item_id
 
 def weighted(scores: Column, weights: Sequence[float] = WEIGHTS) -> Column:
     """Constant plus weighted sum of a vector."""
-    terms = [scores[i] * w for i, w in enumerate(weights[1:])]
+    terms = [F.coalesce(F.get(scores, F.lit(i)), F.lit(0.0)) * w for i, w in enumerate(weights[1:])]
     total: Column = F.lit(weights[0])
     for t in terms:
         total = total + t

@@ -90,13 +90,13 @@ def _conforms() -> tuple[Column, Column]:
     f = F.col("_fields")
     n = F.when(F.col("_tag") == "E", COLUMNS["E"]).otherwise(COLUMNS["R"])
     columns = F.size(f) == n
-    items = _list_items(f[2])
+    items = _list_items(F.get(f, F.lit(2)))
     positions = F.size(items) > 0
     positions = positions & F.forall(items, lambda x: x.rlike(_NUMBER))
-    scores = _list_items(f[4])
-    score = _score_ok(f[4]) | ((F.size(scores) == 3) & F.forall(scores, _score_ok))
-    e = _balanced(f[1]) & F.coalesce(positions, F.lit(False))
-    r = f[1].rlike(_NUMBER) & f[2].rlike(_NUMBER) & _balanced(f[3]) & F.coalesce(score, F.lit(False))
+    scores = _list_items(F.get(f, F.lit(4)))
+    score = _score_ok(F.get(f, F.lit(4))) | ((F.size(scores) == 3) & F.forall(scores, _score_ok))
+    e = _balanced(F.get(f, F.lit(1))) & F.coalesce(positions, F.lit(False))
+    r = F.get(f, F.lit(1)).rlike(_NUMBER) & F.get(f, F.lit(2)).rlike(_NUMBER) & _balanced(F.get(f, F.lit(3))) & F.coalesce(score, F.lit(False))
     return columns, F.when(F.col("_tag") == "E", e).otherwise(r)
 
 
@@ -111,14 +111,14 @@ def strict_load(lines: DataFrame, *, line: str = "line", ident: str = "line_id")
     good = parse_lines(lines.select(ident, line), line=line).filter(F.col("_tag").isNotNull() & F.col("_quotes") & columns & values)
     e = F.col("_tag") == "E"
     number = lambda c: F.trim(c).try_cast("bigint")
-    scores = F.coalesce(_list_items(f[4]), F.array(f[4]))
+    scores = F.coalesce(_list_items(F.get(f, F.lit(4))), F.array(F.get(f, F.lit(4))))
     return good.select(
         ident,
         F.col("_tag").alias("tag"),
-        F.when(~e, number(f[1])).alias("doc"),
-        F.when(~e, number(f[2])).alias("pos"),
-        F.when(e, f[1]).otherwise(f[3]).alias("expression"),
-        F.when(e, F.transform(_list_items(f[2]), number)).alias("positions"),
+        F.when(~e, number(F.get(f, F.lit(1)))).alias("doc"),
+        F.when(~e, number(F.get(f, F.lit(2)))).alias("pos"),
+        F.when(e, F.get(f, F.lit(1))).otherwise(F.get(f, F.lit(3))).alias("expression"),
+        F.when(e, F.transform(_list_items(F.get(f, F.lit(2))), number)).alias("positions"),
         F.when(~e, F.transform(scores, lambda x: F.trim(x).try_cast("double"))).alias("scores"),
     )
 

@@ -124,7 +124,7 @@ def group_ranks(reranked: DataFrame) -> DataFrame:
 
 def document_ranks(reranked: DataFrame) -> DataFrame:
     """``query_id, doc_id, best, total, rank``: documents by their best vector, then by the sum of first scores."""
-    d = reranked.groupBy("query_id", "doc_id").agg(F.max("scores").alias("best"), F.sum(F.col("scores")[0]).alias("total"))
+    d = reranked.groupBy("query_id", "doc_id").agg(F.max("scores").alias("best"), F.sum(F.get("scores", F.lit(0))).alias("total"))
     return d.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("best"), F.desc("total"), "doc_id")))
 
 

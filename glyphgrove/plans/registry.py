@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphgrove.plans import hygiene, retrieval
+from glyphgrove.plans import hygiene, interop, ranking, retrieval
 
-_MODULES = (retrieval, hygiene)
+_MODULES = (retrieval, ranking, interop, hygiene)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

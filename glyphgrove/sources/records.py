@@ -36,7 +36,7 @@ def positions(text: Column) -> Column:
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, position, expr`` of index files; a repeated document id is read once, with its first file and line."""
     lines = with_context(read_lines(spark, path), "D", "doc_id")
-    e = lines.filter((F.col("tag") == "E") & (F.size("fields") == 2)).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.explode(positions(F.col("fields")[1])).alias("position"), F.col("fields")[0].alias("expr"))
+    e = lines.filter((F.col("tag") == "E") & (F.size("fields") == 2)).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.explode(positions(F.get("fields", F.lit(1)))).alias("position"), F.get("fields", F.lit(0)).alias("expr"))
     return e.filter("doc_id IS NOT NULL AND position IS NOT NULL").dropDuplicates(["doc_id", "position"])
 
 
@@ -45,8 +45,8 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     lines = with_context(read_lines(spark, path), "Q", "query_id")
     f = F.col("fields")
     r = lines.filter((F.col("tag") == "R") & (F.size("fields") == 4))
-    scores = F.transform(F.split(F.regexp_replace(f[3], r"[\[\]\s]", ""), ","), lambda x: x.try_cast("double"))
-    return r.select("query_id", f[0].cast("bigint").alias("doc_id"), f[1].cast("int").alias("position"), f[2].alias("expr"), scores.alias("scores"), "line_no")
+    scores = F.transform(F.split(F.regexp_replace(F.get(f, F.lit(3)), r"[\[\]\s]", ""), ","), lambda x: x.try_cast("double"))
+    return r.select("query_id", F.get(f, F.lit(0)).cast("bigint").alias("doc_id"), F.get(f, F.lit(1)).cast("int").alias("position"), F.get(f, F.lit(2)).alias("expr"), scores.alias("scores"), "line_no")
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
@@ -113,13 +113,13 @@ def rewrite_window(lines: DataFrame, window: int) -> DataFrame:
 def read_trec(spark: SparkSession, path: str) -> DataFrame:
     """``query_id, item_id, rank, score, run`` of a run file with tabs or blanks."""
     p = F.split(F.trim("value"), r"\s+")
-    return spark.read.text(path).filter(F.size(p) >= 6).select(p[0].alias("query_id"), p[2].alias("item_id"), p[3].try_cast("int").alias("rank"), p[4].try_cast("double").alias("score"), p[5].alias("run"))
+    return spark.read.text(path).filter(F.size(p) >= 6).select(F.get(p, F.lit(0)).alias("query_id"), F.get(p, F.lit(2)).alias("item_id"), F.get(p, F.lit(3)).try_cast("int").alias("rank"), F.get(p, F.lit(4)).try_cast("double").alias("score"), F.get(p, F.lit(5)).alias("run"))
 
 
 def read_judgments(spark: SparkSession, path: str) -> DataFrame:
     """``query_id, item_id, relevance`` of a judgment file."""
     p = F.split(F.trim("value"), r"\s+")
-    return spark.read.text(path).filter(F.size(p) >= 4).select(p[0].alias("query_id"), p[2].alias("item_id"), p[3].try_cast("double").alias("relevance"))
+    return spark.read.text(path).filter(F.size(p) >= 4).select(F.get(p, F.lit(0)).alias("query_id"), F.get(p, F.lit(2)).alias("item_id"), F.get(p, F.lit(3)).try_cast("double").alias("relevance"))
 
 
 def write_trec(run: DataFrame, path: str) -> None:
@@ -131,7 +131,7 @@ def write_trec(run: DataFrame, path: str) -> None:
 def trec_to_results(run: DataFrame, occurrences: DataFrame) -> DataFrame:
     """``query_id, doc_id, position, expr, score, rank`` of a run whose items are ``document:position``."""
     at = F.split("item_id", ":")
-    keyed = run.select("query_id", at[0].cast("bigint").alias("doc_id"), at[1].cast("int").alias("position"), "score", "rank")
+    keyed = run.select("query_id", F.get(at, F.lit(0)).cast("bigint").alias("doc_id"), F.get(at, F.lit(1)).cast("int").alias("position"), "score", "rank")
     return keyed.join(occurrences, ["doc_id", "position"]).select("query_id", "doc_id", "position", "expr", "score", "rank")
 
 
@@ -144,4 +144,4 @@ def judgments_to_results(judgments: DataFrame, occurrences: DataFrame) -> DataFr
 def read_combined(spark: SparkSession, path: str) -> DataFrame:
     """``query_id, item_id, score`` of a combined run."""
     p = F.split("value", "\t")
-    return spark.read.text(path).filter(F.size(p) >= 3).select(p[0].alias("query_id"), p[1].alias("item_id"), p[2].try_cast("double").alias("score"))
+    return spark.read.text(path).filter(F.size(p) >= 3).select(F.get(p, F.lit(0)).alias("query_id"), F.get(p, F.lit(1)).alias("item_id"), F.get(p, F.lit(2)).try_cast("double").alias("score"))

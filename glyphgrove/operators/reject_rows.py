@@ -20,30 +20,22 @@ _SCORE = r"\A *[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)? *\z"
 
 
 def _quotes_ok(parts: Column) -> Column:
-    """Pieces at even places lie outside quotes: they must meet a quote at a tab, a line end, or not at all."""
-    last = F.size(parts) - 1
-    outside = F.transform(
-        parts,
-        lambda p, i: (i % 2 == 1)
-        | (p == "")
-        | (((i == 0) | p.startswith("\t")) & ((i == last) | p.endswith("\t"))),
-    )
+    """Pieces at even places lie outside quotes: each begins and ends with a tab, or is a doubled quote's gap.
+
+    The line was put between two tabs before, so that its ends are no special case.
+    """
+    outside = F.transform(parts, lambda p, i: (i % 2 == 1) | (p == "") | (p.startswith("\t") & p.endswith("\t")))
     return (F.size(parts) % 2 == 1) & F.forall(outside, lambda ok: ok)
 
 
 def _fields(parts: Column) -> Column:
-    """Field values of a well-quoted line; tabs inside quotes survive."""
-    last = F.size(parts) - 1
+    """Field values of a well-quoted line between two tabs; tabs inside quotes survive."""
 
     def piece(p: Column, i: Column) -> Column:
         safe = F.replace(p, F.lit("\x01"), F.lit("\x01a"))
-        return (
-            F.when(i % 2 == 1, F.replace(safe, F.lit("\t"), F.lit("\x01b")))
-            .when((p == "") & (i > 0) & (i < last), F.lit('"'))
-            .otherwise(safe)
-        )
+        return F.when(i % 2 == 1, F.replace(safe, F.lit("\t"), F.lit("\x01b"))).when(p == "", F.lit('"')).otherwise(safe)
 
-    whole = F.array_join(F.transform(parts, piece), "")
+    whole = F.regexp_replace(F.array_join(F.transform(parts, piece), ""), r"\A\t|\t\z", "")
     return F.transform(F.split(whole, "\t"), lambda f: F.replace(F.replace(f, F.lit("\x01b"), F.lit("\t")), F.lit("\x01a"), F.lit("\x01")))
 
 
@@ -75,7 +67,7 @@ def _score_ok(text: Column) -> Column:
 def parse_lines(lines: DataFrame, *, line: str = "line") -> DataFrame:
     """Adds ``_tag`` (null: not judged), ``_quotes``, ``_fields`` to the rows of ``lines``."""
     text = F.regexp_replace(F.col(line), r"\r\z", "")
-    parts = F.split(F.col("_text"), '"')
+    parts = F.split(F.concat(F.lit("\t"), F.col("_text"), F.lit("\t")), '"')
     return (
         lines.withColumn("_text", text)
         .withColumn("_tag", F.regexp_extract("_text", r'\A("?)([ER])\1(?:\t|\z)', 2))

@@ -32,7 +32,7 @@ from glyphgrove.functions.paths import canonical_path_column
 #: Endings of document names.
 DOCUMENT_ENDINGS = ("mml", "mathml", "xhtml", "html", "tex")
 
-MANIFEST = "path string, pack string, offset bigint, length bigint, source_length bigint, crc bigint, status string"
+MANIFEST = "file string, pack string, offset bigint, length bigint, source_length bigint, crc bigint, status string"
 
 
 def inventory(listing: DataFrame, root: str, *, path: str = "path", size: str = "n_bytes", ident: str = "doc_id") -> DataFrame:

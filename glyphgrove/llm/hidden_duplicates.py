@@ -16,9 +16,11 @@ MARKS = ".,;:!?'\"$`"
 def normal_form(value: Column) -> Column:
     """Value without white space, marks and letter case; null becomes empty.
 
-    Upper case first, then lower case, makes one form of letters with several lower-case shapes.
+    Upper case first, then lower case, makes one form of letters with several lower-case shapes; the sharp s,
+    which has a two-letter upper case, is written out.
     """
-    return F.lower(F.upper(F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), f"[{SPACE}{MARKS}]", "")))
+    bare = F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), f"[{SPACE}{MARKS}]", "")
+    return F.replace(F.lower(F.upper(bare)), F.lit("ß"), F.lit("ss"))
 
 
 def fingerprint(fields: list[tuple[str, Column]]) -> Column:

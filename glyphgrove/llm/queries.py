@@ -66,7 +66,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_counts, p7_ids, p8_found, p8_near, p9_found, p9_redacted)}
 
-_NORMAL = "lower(upper(regexp_replace(coalesce({}, ''), '[\\x{{0009}}-\\x{{000D}}\\x{{001C}}-\\x{{0020}}\\x{{0085}}\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}.,;:!?''\"$`]', '', 'g')))"
+_NORMAL = "replace(lower(upper(regexp_replace(coalesce({}, ''), '[\\x{{0009}}-\\x{{000D}}\\x{{001C}}-\\x{{0020}}\\x{{0085}}\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}.,;:!?''\"$`]', '', 'g'))), 'ß', 'ss')"
 _COPIES = f"""
 WITH n AS (
   SELECT rec_id, {_NORMAL.format("formula")} AS a, {_NORMAL.format("visual_id")} AS b FROM formula_records

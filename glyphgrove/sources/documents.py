@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
@@ -75,7 +76,7 @@ def topics(text: str, *, operator: bool = False) -> tuple[list[tuple[str, int, s
         num = t.find("num")
         name = (num.text if num is not None else t.attrib.get("id", "")).strip()
         keywords += [(name, k.text.strip()) for k in _all(t, "keyword") if k.text.strip()]
-    pieces = text.split("<topic")[1:]
+    pieces = re.split(r"(?i)<(?:[^>\s:]*:)?topic(?=[\s>])", text)[1:]
     for t, piece in zip(_all(root, "topic"), pieces, strict=False):
         num = t.find("num")
         name = (num.text if num is not None else t.attrib.get("id", "")).strip()

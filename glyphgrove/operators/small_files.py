@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphgrove.functions.paths import canonical_path_column
+from glyphgrove.plans.runtime import spread
 
 #: Endings of document names.
 DOCUMENT_ENDINGS = ("mml", "mathml", "xhtml", "html", "tex")
@@ -42,7 +43,7 @@ def inventory(listing: DataFrame, root: str, *, path: str = "path", size: str =
     listings contradict each other, the largest holds, so that a file is never taken for smaller than it may
     be. Files outside ``root`` and rows without a path are left out. Other columns of ``listing`` are ignored.
     """
-    rows = listing.select(F.col(ident).alias("file_id"), F.col(size).cast("bigint").alias("n_bytes"), canonical_path_column(F.col(path), root).alias("file"))
+    rows = spread(listing.select(ident, size, path), ident).select(F.col(ident).alias("file_id"), F.col(size).cast("bigint").alias("n_bytes"), canonical_path_column(F.col(path), root).alias("file"))
     return (
         rows.filter(F.col("file").startswith(f"{root}/"))
         .groupBy("file")

@@ -7,7 +7,7 @@ node arrays in Catalyst's array functions.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,29 +18,44 @@ NODES = "array<struct<path: string, cpath: string, tag: string, depth: int>>"
 TUPLES = "array<struct<from: string, to: string, rel: string, cnt: bigint>>"
 
 
+def _lists(rows: list[list[tuple] | None], names: tuple[str, ...], kinds: tuple[pa.DataType, ...]) -> pa.Array:
+    """Arrow array of lists of structs from rows of tuples, built column by column."""
+    flat = [t for r in rows if r for t in r]
+    columns = list(zip(*flat, strict=True)) or [()] * len(names)
+    values = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
+    offsets, n = [], 0
+    for r in rows:
+        offsets.append(None if r is None else n)
+        n += len(r) if r else 0
+    return pa.ListArray.from_arrays(pa.array([*offsets, n], pa.int32()), values)
+
+
+_TEXT, _INT, _LONG = pa.string(), pa.int32(), pa.int64()
+
+
 def nodes_column(expr: Column) -> Column:
     """Node array of a canonical string; null for null and for what isn't one."""
 
-    @F.pandas_udf(NODES)
-    def parse(s: pd.Series) -> pd.Series:
-        return s.map(_nodes)
+    @F.arrow_udf(NODES)
+    def parse(s: pa.Array) -> pa.Array:
+        return _lists([_nodes(x) for x in s.to_pylist()], ("path", "cpath", "tag", "depth"), (_TEXT, _TEXT, _TEXT, _INT))
 
     return parse(expr)
 
 
-def _nodes(text: str | None) -> list[dict] | None:
+def _nodes(text: str | None) -> list[tuple] | None:
     try:
-        return None if text is None else [n._asdict() for n in trees.nodes(trees.parse(text))]
+        return None if text is None else trees.nodes(trees.parse(text))
     except ValueError:
         return None
 
 
-def _counts(text: str | None, window: int, eob: str) -> list[dict] | None:
+def _counts(text: str | None, window: int, eob: str) -> list[tuple] | None:
     try:
         found = None if text is None else expand(trees.parse(text), window, eob)
     except ValueError:
         return None
-    return None if found is None else [{"from": a, "to": b, "rel": r, "cnt": n} for (a, b, r), n in found.items()]
+    return None if found is None else [(a, b, r, n) for (a, b, r), n in found.items()]
 
 
 def tuple_counts(expr: Column, window: int = WINDOW, eob: str = "small") -> Column:
@@ -48,9 +63,9 @@ def tuple_counts(expr: Column, window: int = WINDOW, eob: str = "small") -> Colu
     if eob not in EOB_MODES:
         raise ValueError(eob)
 
-    @F.pandas_udf(TUPLES)
-    def count(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: _counts(x, window, eob))
+    @F.arrow_udf(TUPLES)
+    def count(s: pa.Array) -> pa.Array:
+        return _lists([_counts(x, window, eob) for x in s.to_pylist()], ("from", "to", "rel", "cnt"), (_TEXT, _TEXT, _TEXT, _LONG))
 
     return count(expr)
 

@@ -22,23 +22,26 @@ def expand(root: trees.Tree, window: int = WINDOW, eob: str = "small") -> Counte
     without a ``next`` (a child 0 in operator trees) that are no errors.
     """
     limit = window or 1 << 30
-    out: Counter[tuple[str, str, str]] = Counter()
+    found: list[tuple[str, str, str]] = []
     operator = trees.is_operator_tree(root)
     down = "0" if operator else "n"
     ends = eob == "all" or eob == "small" and trees.height(root) <= 1
-    todo: list[tuple[trees.Tree, tuple[tuple[str, str], ...]]] = [(root, ())]
+    todo: list[tuple[trees.Tree, list[tuple[str, str]]]] = [(root, [])]
     while todo:
         node, above = todo.pop()
-        if ends and down not in node.edges and not node.tag.startswith("E!"):
-            out[node.tag, END, down] += 1
-        same = node.tag.startswith("U!")
+        tag = node.tag
+        if ends and down not in node.edges and not tag.startswith("E!"):
+            found.append((tag, END, down))
+        same = tag.startswith("U!")
         for label, child in node.edges.items():
             step = "0" if same else label
-            ways = tuple((tag, way + step) for tag, way in ((*above, (node.tag, ""))) if len(way) < limit)
-            if not (child.tag.startswith("E!") and label == "w"):
-                out.update((tag, child.tag, way) for tag, way in ways)
+            ways = [(a, way + step) for a, way in above if len(way) < limit]
+            ways.append((tag, step))
+            name = child.tag
+            if not (label == "w" and name.startswith("E!")):
+                found += [(a, name, way) for a, way in ways]
             todo.append((child, ways))
-    return out
+    return Counter(found)
 
 
 def count_pairs(root: trees.Tree, window: int) -> int:

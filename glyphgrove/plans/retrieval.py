@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphgrove.operators import documents, rerank, retrieve, text, tuples
 from glyphgrove.operators import index as indexing
-from glyphgrove.plans.runtime import table
+from glyphgrove.plans.runtime import spread, table
 
 TOP_K = 10
 #: Formulas that are asked for: those whose id this divides.
@@ -29,7 +29,7 @@ def _operators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _chains(spark: SparkSession, sf_dir: str, name: str, ident: str) -> DataFrame:
     words = text.terms(F.col("text"))
-    t = table(spark, sf_dir, name).select(F.col(ident).alias("doc_id"), words.alias("words")).filter(F.size("words") > 0)
+    t = spread(table(spark, sf_dir, name).select(ident, "text"), ident).select(F.col(ident).alias("doc_id"), words.alias("words")).filter(F.size("words") > 0)
     return t.select("doc_id", F.lit(0).alias("position"), tuples.chain_tree(F.col("words")).alias("expr"))
 
 

@@ -32,6 +32,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+#: Bytes up to which a table is spread over all cores before Python work; larger ones come in enough pieces.
+SPREAD_BYTES = 1 << 30
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A small table hashed over all cores, a large one as it is.
+
+    A table of one file with one row group is one task however long its rows take. The size is the optimiser's
+    estimate; the result is the same either way.
+    """
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage there.
 

@@ -35,7 +35,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         told = graph.join(least, "u").select(F.col("v").alias("u"), "m").unionByName(least)
         told = durable(told.distinct())
         view = told.groupBy("u").agg(F.min("m").alias("low"), F.max((F.col("m") == F.col("u")).cast("int")).alias("alive"))
-        fallen.append(durable(view.filter("alive = 0").select(F.col("u").alias("vertex"), F.col("low").alias("parent"))))
+        fallen.append(view.filter("alive = 0").select(F.col("u").alias("vertex"), F.col("low").alias("parent")))
         links = told.join(view.select("u", "low"), "u").filter("m <> low").select(F.col("m").alias("u"), F.col("low").alias("v"))
         graph = durable(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     if not fallen:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphgrove.plans.runtime import durable
+from glyphgrove.plans.runtime import durable, spread
 
 _WORD = re.compile(r"[^\W_]+")
 _FORMAT = re.compile("[­؀-؅؜۝܏࢐࢑࣢᠎​-‏‪-‮⁠-⁯﻿￹-￻\U000110bd\U000110cd\U00013430-\U0001343f\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0001\U000e0020-\U000e007f]")
@@ -40,7 +40,7 @@ def tokenised(rows: DataFrame, ident: str, text: str) -> DataFrame:
             yield pd.DataFrame({ident: batch[ident], "_words": [words(t) for t in batch[text]]})
 
     kind = rows.schema[ident].dataType.simpleString()
-    return rows.select(ident, text).filter(F.col(text).isNotNull()).mapInPandas(split, f"{ident} {kind}, _words array<string>").filter(F.size("_words") > 0)
+    return spread(rows.select(ident, text).filter(F.col(text).isNotNull()), ident).mapInPandas(split, f"{ident} {kind}, _words array<string>").filter(F.size("_words") > 0)
 
 
 #: Rows up to which a side derived from the evaluation items is broadcast; counted before, shuffled beyond.

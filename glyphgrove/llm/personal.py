@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphgrove.llm import personal_shapes
-from glyphgrove.plans.runtime import durable
+from glyphgrove.plans.runtime import durable, spread
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 
@@ -51,7 +51,7 @@ def extract(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataF
             yield pd.DataFrame(rows, columns=[ident, "pool", "found", "seed", "left", "right", "form", "given", "family", "at"])
 
     kind = docs.schema[ident].dataType.simpleString()
-    return docs.select(ident, text).filter(F.length(text) > 0).mapInPandas(find, _SCHEMA.format(id=ident, kind=kind))
+    return spread(docs.select(ident, text).filter(F.length(text) > 0), ident).mapInPandas(find, _SCHEMA.format(id=ident, kind=kind))
 
 
 def _patterns() -> Column:

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphgrove.plans.runtime import spread
+
 #: Vocabulary of the queries and the folder of the public tokenizers; a parameter of every function here.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 FOLDER = "/opt/tokenizers"
@@ -126,7 +128,7 @@ class Encoder:
 
 
 def encode_corpus(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``ident, ids`` of every document, in Arrow batches, without a shuffle.
+    """``ident, ids`` of every document, in Arrow batches; a large corpus is not shuffled, a small one is spread over the cores.
 
     Null and empty texts get an empty list. Strings of special tokens are ordinary text. A text may be as long
     as a row can be: work grows with its length, and memory with its tokens. Extra columns are not read.
@@ -138,7 +140,7 @@ def encode_corpus(docs: DataFrame, *, ident: str = "doc_id", text: str = "text",
             yield pd.DataFrame({ident: batch[ident], "ids": [e.encode(t) for t in batch[text]]})
 
     kind = docs.schema[ident].dataType.simpleString()
-    return docs.select(ident, text).mapInPandas(encode, f"{ident} {kind}, ids array<int>")
+    return spread(docs.select(ident, text), ident).mapInPandas(encode, f"{ident} {kind}, ids array<int>")
 
 
 def decode_corpus(encoded: DataFrame, *, ident: str = "doc_id", folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -31,6 +31,8 @@ KINDS = ("email", "phone", "id_number", "address", "person")
 #: Rounds of the graph, least confidence of a pattern that labels an instance, weight of unlabelled instances
 #: in a pattern's confidence, and distinct labelled instances that a pattern needs.
 ROUNDS, CONFIDENT, UNKNOWN_WEIGHT, SUPPORT = 4, 0.6, 0.25, 4
+#: What a pattern of two words counts beside one of three, which knows more of the place.
+SHORT_PATTERN = 0.8
 #: Lower-case uses from which a word is taken for no name.
 COMMON = 5
 
@@ -89,8 +91,9 @@ def bootstrap(candidates: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
         weights = weights.filter(known > 0).select("role", "value", "n", known.alias("known"), *[(F.col(k) / (known + UNKNOWN_WEIGHT * (F.col("n") - known) + 1)).alias(k) for k in classes])
         met = edges.join(weights, ["role", "value"])
         context = F.col("role").startswith("c_") & (F.col("known") >= SUPPORT)
+        weight = F.when(F.col("role").isin("c_left2", "c_right2"), SHORT_PATTERN).otherwise(1.0)
         scored = met.groupBy("instance").agg(
-            *[F.max(F.when(context, F.col(k))).alias(f"context_{k}") for k in classes],
+            *[F.max(F.when(context, F.col(k) * weight)).alias(f"context_{k}") for k in classes],
             *[F.max(F.when(F.col("role") == "form", F.col(k))).alias(f"form_{k}") for k in classes],
             *[F.max(F.when(F.col("role") == r, F.col("person"))).alias(r) for r in ("given", "family")],
             F.max(F.when((F.col("role") == "ending") & (F.col("known") >= SUPPORT), F.col("person"))).alias("ending"),
@@ -121,8 +124,9 @@ def _decide() -> Column:
         .when(told & ((c("given") >= 0.2) | (family >= 0.3)), True)
         .when(told & mixed & (c("context_person") >= 0.75), True)
     )
-    person = F.when(against & (c("context_none") >= c("context_person")), "none").when(names, "person")
-    address = F.when((c("form_address") >= CONFIDENT) | context("address"), "address")
+    sure = (c("given") >= 0.6) & (c("family") >= 0.3)
+    person = F.when(sure, "person").when(against & (c("context_none") >= c("context_person")), "none").when(names, "person")
+    address = F.when(((c("form_address") >= CONFIDENT) & ~F.startswith("look", F.lit("open "))) | context("address"), "address")
     return F.when(F.col("pool") == "number", number).when(F.col("pool") == "name", person).when(F.col("pool") == "address", address)
 
 
@@ -132,14 +136,16 @@ def _instance() -> Column:
 
 
 def candidates_of(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """Candidates with their instance; untitled names with a word that the corpus writes in lower case are seeds against."""
+    """Candidates with their instance; names with a word that the corpus writes in lower case are seeds against, titled
+    ones only if that is the family name."""
     all_rows = durable(extract(docs, ident, text).withColumn("instance", _instance()))
     common = all_rows.filter("pool = 'word'").groupBy("found").agg(F.sum("at").alias("n")).filter(F.col("n") >= COMMON).select(F.col("found").alias("word"))
     seen = all_rows.filter("pool <> 'word'")
-    names = seen.filter("pool = 'name'").select("instance", F.explode(F.array("given", "family")).alias("word")).distinct()
-    plain = names.join(common, "word", "left_semi").select("instance").distinct().withColumn("plain", F.lit(True))
-    seed = F.coalesce("seed", F.when(F.col("plain"), F.lit("none")))
-    return durable(seen.join(plain, "instance", "left").withColumn("seed", seed).drop("plain"))
+    parts = F.array(F.struct(F.lit(False).alias("last"), F.col("given").alias("word")), F.struct(F.lit(True).alias("last"), F.col("family").alias("word")))
+    names = seen.filter("pool = 'name'").select("instance", F.explode(parts).alias("p")).select("instance", "p.last", "p.word").distinct()
+    plain = names.join(common, "word", "left_semi").groupBy("instance").agg(F.max("last").alias("plain_family"))
+    seed = F.when(F.col("plain_family"), "none").otherwise(F.coalesce("seed", F.when(F.col("plain_family").isNotNull(), F.lit("none"))))
+    return durable(seen.join(plain, "instance", "left").withColumn("seed", seed).drop("plain_family"))
 
 
 def find_personal(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:

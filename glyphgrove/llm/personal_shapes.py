@@ -33,6 +33,8 @@ STREET_AFTER = r"street|st|road|rd|lane|ln|avenue|ave|court|ct|terrace|close|dri
 STREET_BEFORE_ES = r"calle|c/|paseo|plaza|avenida|avda\.?|camino|ronda|travesía|carretera|carrera|vía|glorieta|cuesta"
 STREET_BEFORE_FR = r"rue|avenue|boulevard|bd|place|chemin|impasse|quai|allée|cours|square|route|passage|sentier|voie|faubourg"
 STREET_COMPOUND = r"straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring|chaussee|steig|pfad|stieg|markt"
+#: First words of German street names that have no kind of street.
+STREET_PREPOSITION = r"am|an der|an den|im|in der|auf der|auf dem|zum|zur|unter den|hinter der|vor dem|beim"
 PARTICLES = r"van|von|de|der|den|da|di|del|della|la|le|du|dos|das|ten|ter|zu|zum|bin|ibn|al|el|y"
 # -------------------------------------------------------------------------------------------------------------
 
@@ -55,8 +57,13 @@ ADDRESS = [
     re.compile(rf"(?<!\w)(?:{_CAP}[\w\-]*[\w] )?(?P<s>(?i:straße|strasse|platz|allee|weg|gasse))(?<=[A-ZÄÖÜa-zß]) {_HOUSE}(?!\w)"),
     re.compile(rf"(?<!\w){_CAP}[\w\-]*?(?P<s>(?i:{STREET_COMPOUND})) ?{_HOUSE}(?!\w)"),
 ]
-#: A house number and capitalised words without a known kind of street: needs the corpus' contexts.
-ADDRESS_OPEN = re.compile(rf"(?<![\w./\-:]){_HOUSE} {_NAME} (?P<s>{_NAME})")
+#: Addresses that need the corpus' contexts: capitalised words without a known kind of street, names in lower case,
+#: names after a preposition. A form that begins with "open" never speaks for an address by itself.
+ADDRESS_OPEN = [
+    (re.compile(rf"(?<![\w./\-:]){_HOUSE} {_NAME} (?P<s>{_NAME})"), ""),
+    (re.compile(rf"(?<![\w./\-:]){_HOUSE} (?:[a-zß-öø-ÿ]+ ){{1,2}}?(?P<s>{STREET_AFTER})(?!\w)"), "open "),
+    (re.compile(rf"(?<!\w)(?P<s>(?i:{STREET_PREPOSITION})) (?:{_NAME} )?{_NAME} {_HOUSE}(?!\w)"), "open "),
+]
 
 PHONE = re.compile(
     r"(?<![\w+/.\-])(?:\+\d{1,3}[ .\-/]?|00\d{2}[ .\-/])?(?:\(\d{2,5}\)[ ]?|\d{1,5}[ .\-/])?\d{2,8}(?:[ .\-/]\d{2,6}){0,4}(?![\w])(?![.\-/]\d)"
@@ -79,6 +86,7 @@ _SPACE = re.compile(r"\s+")
 _ENDS = {k: re.compile(rf"(?:^|[^\w])(?:{v})(?:\s(?:no\.?|number|nr\.?|n[°º]))?[\s:(.<#]*$", re.IGNORECASE) for k, v in {"phone": PHONE_LABELS, "id_number": ID_LABELS, "none": OTHER_LABELS}.items()}
 _TITLE_END = re.compile(rf"(?:^|[^\w])(?:(?:{TITLES})\.?|{INTRODUCTIONS})\s+$", re.IGNORECASE)
 _TITLE = re.compile(rf"(?:{TITLES})\.?", re.IGNORECASE)
+_SIR = re.compile(rf"M\. ?(?={_CAP}\.)")
 _STREET_NEXT = re.compile(rf"\s+(?:{STREET_AFTER})\b", re.IGNORECASE)
 
 
@@ -157,9 +165,10 @@ def candidates(text: str) -> list[Candidate]:
             if free(*m.span()):
                 add("address", *m.span(), "address", form=m["s"].casefold())
                 taken.append(m.span())
-    for m in ADDRESS_OPEN.finditer(text):
-        if free(*m.span()):
-            add("address", *m.span(), None, form=m["s"].casefold())
+    for rx, kind in ADDRESS_OPEN:
+        for m in rx.finditer(text):
+            if free(*m.span()):
+                add("address", *m.span(), None, form=kind + m["s"].casefold())
 
     numbers = {m.span() for m in PHONE.finditer(text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15}
     numbers |= {m.span() for m in ID.finditer(text)}
@@ -167,6 +176,7 @@ def candidates(text: str) -> list[Candidate]:
         if free(a, b) and not any((x, y) != (a, b) and x <= a and b <= y for x, y in numbers):
             add("number", a, b, _label(text[max(0, a - 48) : a]), form=_shape(text[a:b]))
 
+    taken += sorted(numbers)
     covered = 0
     for rx in (PERSON, REVERSED):
         for m in rx.finditer(text):
@@ -174,6 +184,8 @@ def candidates(text: str) -> list[Candidate]:
             whole = "a" if d.get("a") else "b"
             a, b = m.span(whole)
             given, family = d.get("g") or d.get("i"), d.get("n") or d.get("n2")
+            if whole == "b" and (title := _SIR.match(given)):  # an abbreviated title before initials
+                a, given = a + title.end(), given[title.end() :]
             if _TITLE.fullmatch(given.rstrip(".")) and rx is PERSON or not free(a, b):
                 continue
             if whole == "b" and b <= covered:  # the initials and family name of a full name

@@ -74,7 +74,7 @@ ID = re.compile(
 )
 
 _INITIALS = rf"(?:{_CAP}\.[ -]?)+"
-_PARTICLE = rf"(?:(?i:{PARTICLES}) )*"
+_PARTICLE = rf"(?:(?i:{PARTICLES}) ){{0,3}}"
 PERSON = re.compile(
     rf"(?<![\w'’.\-@/&])(?=(?P<a>(?P<g>{_NAME}) (?:{_INITIALS} ?)?(?P<p>{_PARTICLE})(?P<n>{_NAME})))"
     rf"|(?<![\w'’.\-@/&])(?=(?P<b>(?P<i>{_INITIALS}) ?(?P<p2>{_PARTICLE})(?P<n2>{_NAME})))"
@@ -147,7 +147,13 @@ def lower_words(text: str) -> list[str]:
 def candidates(text: str) -> list[Candidate]:
     """All candidates of a text, in no special order; spans of different pools may overlap."""
     out: list[Candidate] = []
-    taken: list[tuple[int, int]] = []
+    taken = bytearray(len(text))
+
+    def take(a: int, b: int) -> None:
+        taken[a:b] = b"\1" * (b - a)
+
+    def free(a: int, b: int) -> bool:
+        return 1 not in taken[a:b]
 
     def add(pool: str, a: int, b: int, seed: str | None, form: str = "", given: str = "", family: str = "") -> None:
         left, right = _around(text, a, b)
@@ -155,16 +161,12 @@ def candidates(text: str) -> list[Candidate]:
 
     for m in EMAIL.finditer(text):
         add("mail", *m.span(), "email", form="address")
-        taken.append(m.span())
-
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y in taken)
-
+        take(*m.span())
     for rx in ADDRESS:
         for m in rx.finditer(text):
             if free(*m.span()):
                 add("address", *m.span(), "address", form=m["s"].casefold())
-                taken.append(m.span())
+                take(*m.span())
     for rx, kind in ADDRESS_OPEN:
         for m in rx.finditer(text):
             if free(*m.span()):
@@ -172,11 +174,14 @@ def candidates(text: str) -> list[Candidate]:
 
     numbers = {m.span() for m in PHONE.finditer(text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15}
     numbers |= {m.span() for m in ID.finditer(text)}
-    for a, b in sorted(numbers):
-        if free(a, b) and not any((x, y) != (a, b) and x <= a and b <= y for x, y in numbers):
+    numbers = [(a, b) for a, b in numbers if free(a, b)]
+    reach = 0
+    for a, b in sorted(numbers, key=lambda x: (x[0], -x[1])):
+        if b > reach:  # not inside a longer one
             add("number", a, b, _label(text[max(0, a - 48) : a]), form=_shape(text[a:b]))
-
-    taken += sorted(numbers)
+        reach = max(reach, b)
+    for a, b in numbers:
+        take(a, b)
     covered = 0
     for rx in (PERSON, REVERSED):
         for m in rx.finditer(text):

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphgrove.functions.stem import stem_column
+
 
 def terms(text: Column) -> Column:
     """Runs of ASCII letters and digits in lower case; null for null."""
     return F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z0-9]+)"), F.lit(1)), lambda w: F.lower(w))
 
 
-def postings(docs: DataFrame, *, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, pos, term`` of each term; positions count from 0. No shuffle."""
-    return docs.select(F.col(ident).alias("doc_id"), F.posexplode(terms(F.col(text))).alias("pos", "term"))
+def postings(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", stemmed: bool = False) -> DataFrame:
+    """``doc_id, pos, term`` of each term, or of its stem; positions count from 0. No shuffle."""
+    words = stem_column(terms(F.col(text))) if stemmed else terms(F.col(text))
+    return docs.select(F.col(ident).alias("doc_id"), F.posexplode(words).alias("pos", "term"))
 
 
 def term_counts(docs: DataFrame, *, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -48,9 +51,10 @@ def normalised(scores: DataFrame) -> DataFrame:
     return scores.withColumn("score", F.when(top == 0, 0.0).otherwise(F.col("score") / top))
 
 
-def keyword_positions(docs: DataFrame, keywords: DataFrame, *, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """``query_id, doc_id, term, positions`` of single keywords (``query_id, term``)."""
-    hit = postings(docs, ident=ident, text=text).join(keywords.select("query_id", "term").distinct(), "term")
+def keyword_positions(docs: DataFrame, keywords: DataFrame, *, ident: str = "doc_id", text: str = "text", stemmed: bool = False) -> DataFrame:
+    """``query_id, doc_id, term, positions`` of single keywords (``query_id, term``); ``stemmed`` compares stems."""
+    asked = keywords.select("query_id", F.get(stem_column(F.array(F.lower("term"))), F.lit(0)).alias("term")) if stemmed else keywords.select("query_id", "term")
+    hit = postings(docs, ident=ident, text=text, stemmed=stemmed).join(asked.distinct(), "term")
     return hit.groupBy("query_id", "doc_id", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 

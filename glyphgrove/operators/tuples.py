@@ -104,3 +104,18 @@ def tuple_table(expressions: DataFrame, keys: list[str], *, expr: str = "expr",
     """``keys, from, to, rel, cnt``: one row per distinct tuple of each row's expression. No shuffle."""
     t = expressions.select(*keys, F.explode(tuple_counts(F.col(expr), window, eob)).alias("_t"))
     return t.select(*keys, "_t.from", "_t.to", "_t.rel", "_t.cnt")
+
+
+def short_pairs(pairs: DataFrame, longest: int = 200) -> DataFrame:
+    """Pairs whose two tags and way have at most ``longest`` characters together."""
+    return pairs.filter(F.length("from") + F.length("to") + F.length("rel") <= longest)
+
+
+def distance_relation(to: Column, rel: Column) -> Column:
+    """The way of a layout tuple as ``length.level``: steps above count up, steps below down; ends are ``0.0``.
+
+    Ways with steps over or under a symbol have no level and give null.
+    """
+    times = lambda signs: F.length(rel) - F.length(F.translate(rel, signs, ""))
+    level = (times("ac") - times("bd")).cast("string")
+    return F.when(to == END, "0.0").when(rel.rlike(r"\A[acbdnwe]*\z"), F.concat(F.length(rel).cast("string"), F.lit("."), level))

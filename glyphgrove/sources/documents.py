@@ -55,6 +55,16 @@ def read_contents(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(read, f"{kinds}, content string")
 
 
+def names_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id, doc_name`` of the documents in ``ids`` (``doc_id``), each once."""
+    return docs.select("doc_id", "doc_name").join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def fetch_formulas(scanned: DataFrame, places: DataFrame) -> DataFrame:
+    """``doc_id, position, formula`` of scanned formulas at ``places`` (``doc_id, position``)."""
+    return scanned.join(places.select("doc_id", "position").distinct(), ["doc_id", "position"], "left_semi")
+
+
 def read_formula_table(spark: SparkSession, path: str, *, ident: int = 0, formula: int = 5) -> DataFrame:
     """``doc_id, doc_name, content`` of a tab-separated table with a formula in markup per row; kept as a table, not as files."""
     raw = spark.read.option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').option("multiLine", False).csv(path)

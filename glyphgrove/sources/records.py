@@ -145,3 +145,22 @@ def read_combined(spark: SparkSession, path: str) -> DataFrame:
     """``query_id, item_id, score`` of a combined run."""
     p = F.split("value", "\t")
     return spark.read.text(path).filter(F.size(p) >= 3).select(F.get(p, F.lit(0)).alias("query_id"), F.get(p, F.lit(1)).alias("item_id"), F.get(p, F.lit(2)).try_cast("double").alias("score"))
+
+
+def read_text_results(spark: SparkSession, path: str, docs: DataFrame | None = None) -> DataFrame:
+    """``query_id, doc_id, doc_name, score`` of a text engine's ``M`` lines; names come from ``docs``, else null."""
+    lines = with_context(read_lines(spark, path), "Q", "query_id").filter((F.col("tag") == "M") & (F.size("fields") == 2))
+    m = lines.select("query_id", F.get("fields", F.lit(0)).try_cast("bigint").alias("doc_id"), F.get("fields", F.lit(1)).try_cast("double").alias("score"))
+    named = m.withColumn("doc_name", F.lit(None).cast("string")) if docs is None else m.join(docs.select("doc_id", "doc_name"), "doc_id", "left")
+    return named.select("query_id", "doc_id", "doc_name", "score")
+
+
+def query_lines(queries: DataFrame, keywords: DataFrame, *, k: int = 1000, window: int = 4, operator: bool = False) -> DataFrame:
+    """``query_id, value``: per query one text of its settings, ``Q``, ``E`` (in order) and ``P`` lines."""
+    e = queries.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("expr_no", "expr"))).alias("_e"))
+    p = keywords.groupBy("query_id").agg(F.sort_array(F.collect_list("term")).alias("_p"))
+    lines = lambda tag, c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.concat(F.lit(f"{tag}\t"), x))
+    head = F.array(F.lit(f"K\t{k}"), F.lit(f"W\t{window}"), F.lit(f"O\t{int(operator)}"), F.concat(F.lit("Q\t"), F.col("query_id")))
+    both = e.join(p, "query_id", "full_outer")
+    body = F.concat(head, lines("E", F.transform("_e", lambda x: x["expr"])), lines("P", F.col("_p")))
+    return both.select("query_id", F.array_join(body, "\n").alias("value"))

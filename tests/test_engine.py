@@ -224,6 +224,22 @@ def test_records(spark, occ, index, tmp_path):
     assert records.trec_to_results(again, occ.select("doc_id", "position", "expr")).count() == trec.count()
 
 
+def test_small_record_helpers(spark, tmp_path):
+    (tmp_path / "m.tsv").write_text("Q\ta\nP\tword\nM\t1\t0.5\nM\t2\tx\n")
+    docs = spark.createDataFrame([(1, "one.mml"), (3, "three.mml")], "doc_id bigint, doc_name string")
+    assert [tuple(r) for r in records.read_text_results(spark, str(tmp_path / "m.tsv"), docs).orderBy("doc_id").collect()] == [("a", 1, "one.mml", 0.5), ("a", 2, None, None)]
+    q = spark.createDataFrame([("a", 1, "[V!y]"), ("a", 0, "[V!x]")], "query_id string, expr_no int, expr string")
+    k = spark.createDataFrame([("a", "w"), ("b", "v")], "query_id string, term string")
+    texts = {r["query_id"]: r["value"] for r in records.query_lines(q, k).collect()}
+    assert texts == {"a": "K\t1000\nW\t4\nO\t0\nQ\ta\nE\t[V!x]\nE\t[V!y]\nP\tw", "b": "K\t1000\nW\t4\nO\t0\nQ\tb\nP\tv"}
+    assert [tuple(r) for r in sources.names_of(docs, spark.createDataFrame([(3,), (3,), (9,)], "doc_id bigint")).collect()] == [(3, "three.mml")]
+    scanned = spark.createDataFrame([(1, 0, "f"), (1, 1, "g")], "doc_id bigint, position int, formula string")
+    assert sources.fetch_formulas(scanned, spark.createDataFrame([(1, 1)], "doc_id bigint, position int")).first()["formula"] == "g"
+    t = spark.createDataFrame([("a", "b", "nab"), ("a", "0!", "n"), ("a", "b", "ou")], "`from` string, `to` string, rel string")
+    got = t.select(tuples.distance_relation(F.col("to"), F.col("rel")).alias("d")).collect()
+    assert [r["d"] for r in got] == ["3.0", "0.0", None] and tuples.short_pairs(t, 4).count() == 2
+
+
 def test_context_over_splits(spark):
     rows = [("f", i // 3, i, t, [v]) for i, (t, v) in enumerate([("R", "0"), ("Q", "a"), ("R", "1"), ("R", "2"), ("R", "3"), ("R", "4"), ("R", "5"), ("Q", "b"), ("R", "6"), ("R", "7")])]
     df = spark.createDataFrame(rows + [("g", 0, 0, "R", ["9"])], "file string, split bigint, line_no bigint, tag string, fields array<string>")
@@ -303,5 +319,7 @@ def test_texts(spark):
     words = spark.createDataFrame([("q", "fox")], "query_id string, term string")
     assert {(r["doc_id"], tuple(r["positions"])) for r in text.keyword_positions(docs, words).collect()} == {(1, (2, 4)), (2, (1,))}
     assert text.formula_positions(docs).first()["positions"] == [1, 3]
+    stems = text.keyword_positions(docs, spark.createDataFrame([("q", "foxes")], "query_id string, term string"), stemmed=True)
+    assert {r["doc_id"] for r in stems.collect()} == {1, 2}
     q = spark.createDataFrame([("q", "red fox")], "query_id string, text string")
     assert [r["doc_id"] for r in text.normalised(text.tfidf_search(docs, q)).orderBy("rank").collect()] == [1, 2]

@@ -73,7 +73,8 @@ def plan_packs(files: DataFrame, *, small_below: int = 8192, least_files: int =
         .filter(F.col("n_small") >= least_files)
         .select("folder", F.ceil(F.col("folder_bytes") / F.lit(target_bytes * packs_per_bucket)).alias("n_buckets"))
     )
-    placed = small.join(crowded, "folder").withColumn("bucket", F.pmod(F.xxhash64("file"), F.col("n_buckets")))
+    # the shuffle by bucket is explicit: the window could do with the join's partitions, where a hot folder is one task
+    placed = small.join(crowded, "folder").withColumn("bucket", F.pmod(F.xxhash64("file"), F.col("n_buckets"))).repartition("folder", "bucket")
     before = Window.partitionBy("folder", "bucket").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.col("n_bytes") + 1).over(before), F.lit(0))
     return (

@@ -72,8 +72,9 @@ def find_copies(records: DataFrame, ident: str, fields: dict[str, str]) -> DataF
     copies = met.filter(F.col("_equal") & (F.col("_id") != F.col("_k._id"))).select(F.col("_k._id").alias("kept_id"), F.col("_id").alias(ident))
     # chance collisions: the same fingerprint, other values; as good as never a row
     exact = [F.array_sort(F.array(*ns)).alias(f"_e{i}") for i, ns in enumerate(by_field.values())]
-    strays = met.filter(~F.col("_equal")).select("_f", "_id", *exact)
     keys = ["_f", *[f"_e{i}" for i in range(len(exact))]]
+    # the explicit shuffle lets adaptive execution split the join before it
+    strays = met.filter(~F.col("_equal")).select("_f", "_id", *exact).repartition(*keys)
     first = strays.groupBy(*keys).agg(F.min("_id").alias("kept_id"))
     rest = strays.join(first, keys).filter("_id <> kept_id").select("kept_id", F.col("_id").alias(ident))
     return copies.unionByName(rest)

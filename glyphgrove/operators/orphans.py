@@ -54,23 +54,24 @@ def orphan_references(refs: list[Reference], parent: DataFrame, parent_key: str,
         F.min(F.when(F.col("until").isNull(), F.col("since"))).alias("kept_from"),
         F.max(F.col("until")).alias("last_end"),
     )
+    absent = refers.select(F.col("missing_id").alias("id")).distinct().join(summary.select("id"), "id", "left_anti")
+    # one row per key, absent keys included, so that the references are joined back once
+    keys = summary.withColumn("there", F.lit(True)).unionByName(absent.withColumn("there", F.lit(False)), allowMissingColumns=True)
     period = F.date_format("at", "yyyy-MM")
-    keys = refers.select("missing_id").distinct()
-    absent = keys.join(summary.select("id"), F.col("missing_id") == F.col("id"), "left_anti")
-    missing = refers.join(absent, "missing_id").select("table_name", "field", "missing_id", period.alias("period"), F.lit("missing").alias("reason"))
-
     at = F.col("at")
-    known = refers.join(summary, F.col("missing_id") == F.col("id")).filter(at.isNotNull() & ~F.coalesce(at >= F.col("kept_from"), F.lit(False)))
+    met = refers.join(keys, F.col("missing_id") == F.col("id"))
     late = F.col("first_load").isNull() | (at < F.col("first_load"))
     over = F.coalesce(at >= F.col("last_end"), F.lit(True))
-    settled = known.filter(late | over).select("table_name", "field", "missing_id", period.alias("period"), F.when(late, "late").otherwise("deleted").alias("reason"))
-    open_ = known.filter(~(late | over)).select("table_name", "field", "missing_id", "at")
+    reason = F.when(~F.col("there"), "missing").when(late, "late").when(over, "deleted")
+    judged = met.filter(~F.col("there") | (at.isNotNull() & ~F.coalesce(at >= F.col("kept_from"), F.lit(False)))).withColumn("reason", reason)
+    settled = judged.filter("reason IS NOT NULL").select("table_name", "field", "missing_id", period.alias("period"), "reason")
+    open_ = judged.filter("reason IS NULL").select("table_name", "field", "missing_id", "at")
     i = intervals.filter("since is not null and until is not null").distinct().alias("i")
     gap = (
         open_.alias("o")
         .join(i, (F.col("o.missing_id") == F.col("i.id")) & (F.col("o.at") >= F.col("i.since")) & (F.col("o.at") < F.col("i.until")), "left_anti")
         .select("table_name", "field", "missing_id", period.alias("period"), F.lit("deleted").alias("reason"))
     )
-    found = missing.unionByName(settled).unionByName(gap)
+    found = settled.unionByName(gap)
     by = ["table_name", "field", "missing_id", "period", "reason"]
     return found.repartition(*by).groupBy(*by).agg(F.count("*").alias("n_references"))

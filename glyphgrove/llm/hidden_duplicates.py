@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphgrove.plans.runtime import durable
+
 #: Every sign that counts as white space, Unicode included, as ranges of a character class.
 SPACE = "\\u0009-\\u000D\\u001C-\\u0020\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 #: Marks without meaning.
@@ -23,17 +25,18 @@ def normal_form(value: Column) -> Column:
     return F.replace(F.lower(F.upper(bare)), F.lit("ß"), F.lit("ss"))
 
 
-def fingerprint(fields: list[tuple[str, Column]]) -> Column:
-    """Multiset hash of (name, value) pairs: two independent sums of 64-bit pair hashes, as whole numbers.
+def fingerprint(fields: list[tuple[str, Column]]) -> list[Column]:
+    """Multiset hash of (name, value) pairs: two independent sums of pair hashes.
 
     Addition commutes, so the order of the pairs doesn't matter and nothing is sorted; pairs that occur twice
-    count twice.
+    count twice. Hashes lose as many low bits as their sum could overflow by, eight at least.
     """
+    spare = max(8, len(fields).bit_length())
 
     def total(salt: str) -> Column:
-        return reduce(lambda x, y: x + y, [F.xxhash64(F.lit(salt), F.lit(n), v).cast("decimal(20,0)") for n, v in fields])
+        return reduce(lambda x, y: x + y, [F.shiftrightunsigned(F.xxhash64(F.lit(salt), F.lit(n), v), spare) for n, v in fields])
 
-    return F.concat_ws(":", total("a").cast("string"), total("b").cast("string"))
+    return [total("a"), total("b")]
 
 
 def _same_multiset(left: list[Column], right: list[Column]) -> Column:
@@ -49,32 +52,31 @@ def find_copies(records: DataFrame, ident: str, fields: dict[str, str]) -> DataF
     may stand in either of them. Copies agree in all fields after :func:`normal_form`; records whose values are
     all empty are copies of each other.
 
-    Records meet by fingerprint and are then compared value by value with the group's kept record, so a chance
-    hash collision joins nothing; what fails that comparison is grouped again by its values. Equal records are
-    merged before the shuffle (combinable minimum), and the kept record's values travel to the group as one row,
-    so that a group with a third of all records is only a hot join key, which adaptive execution splits.
+    Records meet by fingerprint: an aggregate over numbers only finds the fingerprints of more than one record, and
+    just the values of those records are shuffled and kept in the checkpoint folder. Each is then compared value by
+    value with its group's kept record, so a chance hash collision joins nothing; what fails that comparison is grouped
+    again by its values. A group with a third of all records is one row after the aggregate and a hot key of the
+    joins, which adaptive execution splits.
     """
     cols = list(fields)
     names = [f"_v{i}" for i in range(len(cols))]
     base = records.select(F.col(ident).alias("_id"), *[normal_form(F.col(c)).alias(n) for c, n in zip(cols, names, strict=True)])
-    base = base.withColumn("_f", fingerprint([(fields[c], F.col(n)) for c, n in zip(cols, names, strict=True)]))
-    kept = (
-        base.groupBy("_f")
-        .agg(F.min_by(F.struct("_id", *names), "_id").alias("_k"), F.count("*").alias("_n"))
-        .filter("_n > 1")
-        .select("_f", "_k")
-    )
+    f = ["_f1", "_f2"]
+    base = base.withColumns(dict(zip(f, fingerprint([(fields[c], F.col(n)) for c, n in zip(cols, names, strict=True)]), strict=True)))
+    groups = base.groupBy(*f).agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    members = durable(base.join(groups, f))
+    kept = members.filter("_id = _first").select(*f, F.struct(*names).alias("_k"))
     by_field: dict[str, list[str]] = {}
     for c, n in zip(cols, names, strict=True):
         by_field.setdefault(fields[c], []).append(n)
     equal = reduce(lambda p, q: p & q, [_same_multiset([F.col(n) for n in ns], [F.col("_k")[n] for n in ns]) for ns in by_field.values()])
-    met = base.join(kept, "_f").withColumn("_equal", equal)
-    copies = met.filter(F.col("_equal") & (F.col("_id") != F.col("_k._id"))).select(F.col("_k._id").alias("kept_id"), F.col("_id").alias(ident))
+    met = members.join(kept, f).withColumn("_equal", equal)
+    copies = met.filter(F.col("_equal") & (F.col("_id") != F.col("_first"))).select(F.col("_first").alias("kept_id"), F.col("_id").alias(ident))
     # chance collisions: the same fingerprint, other values; as good as never a row
     exact = [F.array_sort(F.array(*ns)).alias(f"_e{i}") for i, ns in enumerate(by_field.values())]
-    keys = ["_f", *[f"_e{i}" for i in range(len(exact))]]
+    keys = [*f, *[f"_e{i}" for i in range(len(exact))]]
     # the explicit shuffle lets adaptive execution split the join before it
-    strays = met.filter(~F.col("_equal")).select("_f", "_id", *exact).repartition(*keys)
+    strays = met.filter(~F.col("_equal")).select(*f, "_id", *exact).repartition(*keys)
     first = strays.groupBy(*keys).agg(F.min("_id").alias("kept_id"))
     rest = strays.join(first, keys).filter("_id <> kept_id").select("kept_id", F.col("_id").alias(ident))
     return copies.unionByName(rest)

@@ -2,6 +2,7 @@
 
 Layers (each imports only from those above it):
 
+* ``runtime``    table access, durable cuts, spreading
 * ``functions``  scalar building blocks: scores, tag escaping, stemming, path canonicalisation
 * ``parse``      markup -> canonical tree strings, tree strings -> node arrays
 * ``align``      tree alignment and unification, called from one Arrow function

@@ -25,10 +25,12 @@ def dispatch(documents: DataFrame, *, name: str = "doc_name") -> DataFrame:
 def scan_formulas(documents: DataFrame, *, ident: str = "doc_id", content: str = "content") -> DataFrame:
     """``ident, position, formula``: formulas of each document, counted from 0. JVM only, no shuffle.
 
-    Null contents and contents without formulas give no rows.
+    LaTeX formulas of elements of their own class come as ``$...$``. Null contents and contents without formulas give no rows.
     """
     found = F.regexp_extract_all(F.col(content), F.lit(r"(?s)(<(?:[^>\s:/]*:)?math(?:\s[^>]*)?>.*?</(?:[^>\s:]*:)?math>|<[^/<>]+class=\"math-container\".*?>.*?</.*?>)"), F.lit(1))
-    return documents.select(ident, F.posexplode(found).alias("position", "formula"))
+    latex = lambda x: F.concat(F.lit("$"), F.regexp_extract(x, r"(?s)(?<!\\)\$+(.{1,200}?)(?<!\\)\$+", 1), F.lit("$"))
+    plain = F.transform(found, lambda x: F.when(x.endswith("math>"), x).otherwise(latex(x)))
+    return documents.select(ident, F.posexplode(plain).alias("position", "formula"))
 
 
 def scan_elements(documents: DataFrame, tag: str, *, ident: str = "doc_id", content: str = "content") -> DataFrame:
@@ -37,6 +39,14 @@ def scan_elements(documents: DataFrame, tag: str, *, ident: str = "doc_id", cont
     return documents.select(ident, F.posexplode(found).alias("position", "element"))
 
 
+def with_converted(scanned: DataFrame, converted: DataFrame) -> DataFrame:
+    """LaTeX formulas (``$...$``) replaced by the markup of ``converted`` (``latex, markup``); others stay as they are."""
+    tex = F.when(F.col("formula").startswith("$"), F.regexp_replace("formula", r"\A\$+|\$+\z", ""))
+    one = converted.groupBy("latex").agg(F.min("markup").alias("_markup"))
+    both = scanned.withColumn("_tex", tex).join(one.withColumnRenamed("latex", "_tex"), "_tex", "left")
+    return both.withColumn("formula", F.coalesce("_markup", "formula")).drop("_tex", "_markup")
+
+
 def formula_id(formula: Column) -> Column:
     """The ``id`` attribute of a formula's first element, or null."""
     x = F.regexp_extract(formula, r"<[^>]*?\sid=[\"']([^\"']*)[\"']", 1)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphgrove.operators import tuples
-from glyphgrove.plans.runtime import durable
+from glyphgrove.runtime import durable
 
 
 @dataclass

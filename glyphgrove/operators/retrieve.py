@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from glyphgrove.operators import tuples
 from glyphgrove.operators.index import Index
-from glyphgrove.plans.runtime import durable
+from glyphgrove.runtime import durable
 
 #: Rows of query tuples up to which they are broadcast.
 BROADCAST_ROWS = 500_000

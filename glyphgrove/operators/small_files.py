@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphgrove.functions.paths import canonical_path_column
-from glyphgrove.plans.runtime import spread
+from glyphgrove.runtime import spread
 
 #: Endings of document names.
 DOCUMENT_ENDINGS = ("mml", "mathml", "xhtml", "html", "tex")

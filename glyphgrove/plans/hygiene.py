@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphgrove.operators import orphans, reject_rows, small_files
-from glyphgrove.plans.runtime import table
+from glyphgrove.runtime import table
 
 #: Fixed value: the folder where relative paths of ``doc_list`` start.
 CORPUS_ROOT = "/data/tangent"

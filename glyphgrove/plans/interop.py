@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphgrove.operators import reject_rows
-from glyphgrove.plans.runtime import checkpoint_dir, table
+from glyphgrove.runtime import checkpoint_dir, table
 from glyphgrove.sources import records
 from glyphgrove.streaming import search
 

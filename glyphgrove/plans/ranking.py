@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphgrove.functions.stem import stem_column
 from glyphgrove.operators import evaluate, fusion, rerank, text
-from glyphgrove.plans.runtime import table
+from glyphgrove.runtime import table
 
 #: Decimal places of results that are sums of doubles.
 PLACES = 9

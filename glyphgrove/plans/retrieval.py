@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphgrove.operators import documents, rerank, retrieve, text, tuples
 from glyphgrove.operators import index as indexing
-from glyphgrove.plans.runtime import spread, table
+from glyphgrove.runtime import spread, table
 
 TOP_K = 10
 #: Formulas that are asked for: those whose id this divides.

@@ -1,56 +1,3 @@
-"""Session-level helpers shared by every operator: table access and durable cuts."""
+"""Kept name of :mod:`glyphgrove.runtime`."""
 
-from __future__ import annotations
-
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's Parquet tables, as a lazy scan."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for durable cuts.
-
-    The session's ``spark.checkpoint.dir`` is used as it stands. Where it is unset, a temporary folder
-    is taken in local mode only; on a cluster an unset folder is an error, because a folder of one
-    machine would be lost with it.
-    """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="glyphgrove-checkpoint-")
-    sc.setCheckpointDir(configured)
-    return configured
-
-
-#: Bytes up to which a table is spread over all cores before Python work; larger ones come in enough pieces.
-SPREAD_BYTES = 1 << 30
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """A small table hashed over all cores, a large one as it is.
-
-    A table of one file with one row group is one task however long its rows take. The size is the optimiser's
-    estimate; the result is the same either way.
-    """
-    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage there.
-
-    Loss of an executor afterwards costs nothing but a re-read of those files.
-    """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+from glyphgrove.runtime import *  # noqa: F403

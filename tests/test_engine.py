@@ -178,6 +178,15 @@ def test_documents_to_search(spark):
     assert engine.rerank(hits, q).filter("rank = 1").first()["scores"] == [1.0, 1.0, 1.0]
 
 
+def test_latex_by_table(spark):
+    df = spark.createDataFrame([(0, '<span class="math-container">$x^2$</span> <math><mi>y</mi></math>')], "doc_id bigint, content string")
+    scanned = documents.scan_formulas(df)
+    assert [r["formula"] for r in scanned.orderBy("position").collect()] == ["$x^2$", "<math><mi>y</mi></math>"]
+    table = spark.createDataFrame([("x^2", "<math><msup><mi>x</mi><mn>2</mn></msup></math>")], "latex string, markup string")
+    parsed = documents.parse_formulas(documents.with_converted(scanned, table), operator=False)
+    assert {r["expr"] for r in parsed.collect()} == {"[V!x,a[N!2]]", "[V!y]"}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "d" / "e").mkdir(parents=True)
     (tmp_path / "d" / "b.mml").write_text(MML.format("<mi>x</mi>"))

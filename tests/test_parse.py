@@ -139,6 +139,18 @@ def test_expansion_properties(t, window):
     assert sum(a.values()) <= count_pairs(t, window)
 
 
+@settings(max_examples=100, deadline=None)
+@given(tree(True), st.randoms(use_true_random=False))
+def test_order_under_commutative_operators_is_free(t, rnd):
+    before = expand(t, 3, "none")
+    for _, n in list(trees.visit(t)):
+        if n.tag.startswith("U!"):
+            kids = n.children()
+            rnd.shuffle(kids)
+            n.edges = dict(zip(n.edges, kids, strict=True))
+    assert expand(t, 3, "none") == before
+
+
 def test_tuples_of_known_trees():
     f = expand(trees.parse("[O!divide,o[V!x],u[V!y]]"), 2)
     assert set(f) == {("O!divide", "V!x", "o"), ("O!divide", "V!y", "u"), ("O!divide", "0!", "n"), ("V!x", "0!", "n"), ("V!y", "0!", "n")}

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphgrove.plans.runtime import durable, spread
+from glyphgrove.runtime import durable, spread
 
 _WORD = re.compile(r"[^\W_]+")
 _FORMAT = re.compile("[­؀-؅؜۝܏࢐࢑࣢᠎​-‏‪-‮⁠-⁯﻿￹-￻\U000110bd\U000110cd\U00013430-\U0001343f\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0001\U000e0020-\U000e007f]")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphgrove.llm import personal_shapes
-from glyphgrove.plans.runtime import durable, spread
+from glyphgrove.runtime import durable, spread
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 

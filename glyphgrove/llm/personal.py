@@ -77,9 +77,10 @@ def _patterns() -> Column:
 def bootstrap(candidates: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
     """``instance, label`` of every candidate instance; null where nothing speaks for a kind or against all.
 
-    ``candidates`` needs the columns of :func:`extract` and ``instance``.
+    ``candidates`` needs the columns of :func:`extract` and ``instance``, which settles all of them but the seed; where
+    occurrences of an instance have different seeds, the first in alphabetical order holds, whatever order rows come in.
     """
-    content = candidates.groupBy("instance").agg(*[F.first(c).alias(c) for c in ("pool", "seed", "left", "right", "form", "given", "family")])
+    content = candidates.groupBy("instance").agg(F.min("seed").alias("seed"), *[F.first(c).alias(c) for c in ("pool", "left", "right", "form", "given", "family")])
     content = durable(content)
     edges = durable(content.select("instance", F.explode(_patterns()).alias("p")).select("instance", "p.role", "p.value"))
     labels = content.select("instance", "seed", F.col("seed").alias("label"))

@@ -8,13 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphgrove.operators.ranks import number_rows
+
 #: Values of graded labels.
 GRADES = {"Not-Relevant": 0, "Partially-Relevant": 1, "Relevant": 2}
 
 
 def sorted_run(run: DataFrame) -> DataFrame:
     """Run with ``rank`` by descending score, then item."""
-    return run.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")))
+    return number_rows(run, ["query_id"], [F.desc("score"), F.asc("item_id")])
 
 
 def aggregate_judgments(raw: DataFrame, *, grade: str | None = None) -> DataFrame:
@@ -126,7 +128,8 @@ def formulas_to_posts(run: DataFrame, formulas: DataFrame, *, kinds: tuple[str,
     use = formulas if kinds is None else formulas.filter(F.col("post_kind").isin(*kinds))
     use = use.filter(F.col("post_id").isNotNull()).select(F.col("formula_id").alias("item_id"), "post_id").distinct()
     posts = run.join(use, "item_id").groupBy("query_id", "post_id").agg(F.max("score").alias("score")).withColumnRenamed("post_id", "item_id")
-    return sorted_run(posts).filter(F.col("rank") <= k)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
+    return posts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def visual_dedup(run: DataFrame, formulas: DataFrame, visuals: DataFrame, judgments: DataFrame) -> DataFrame:

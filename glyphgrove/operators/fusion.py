@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphgrove.operators.ranks import number_rows
+
 #: Weights of the combined score, cross-validated on a public test collection: constant, layout, operator.
 WEIGHTS = (0.2930, 0.0861, -0.1694, 1.8469, 0.9657, -0.0153, -0.3301)
 #: Fixed value: the length of a run.
@@ -35,10 +37,14 @@ def weighted(scores: Column, weights: Sequence[float] = WEIGHTS) -> Column:
 
 
 def ranked(run: DataFrame, *, item: str = "item_id", k: int | None = None, compat: bool = False) -> DataFrame:
-    """Adds ``rank`` by descending score, then item. ``compat`` orders scores as texts, as older runs are."""
+    """Adds ``rank`` by descending score, then item. ``compat`` orders scores as texts, as older runs are.
+
+    With ``k`` the group limit prunes before the shuffle; without, runs of any length are numbered over many tasks.
+    """
     key = F.col("score").cast("string") if compat else F.col("score")
-    out = run.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(key), item)))
-    return out if k is None else out.filter(F.col("rank") <= k)
+    if k is None:
+        return number_rows(run, ["query_id"], [F.desc(key), F.asc(item)])
+    return run.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(key), item))).filter(F.col("rank") <= k)
 
 
 def merge_forms(rows: DataFrame, ident: str, a: str, b: str) -> DataFrame:

@@ -10,7 +10,7 @@ from glyphgrove.align.pairs import multiset_dice
 from glyphgrove.engine import Engine
 from glyphgrove.functions import report
 from glyphgrove.functions.register import register
-from glyphgrove.operators import documents, evaluate, fusion, rerank, retrieve, text, tuples
+from glyphgrove.operators import documents, evaluate, fusion, ranks, rerank, retrieve, text, tuples
 from glyphgrove.operators import index as indexing
 from glyphgrove.parse import trees
 from glyphgrove.parse.pairs import expand
@@ -293,6 +293,17 @@ def test_fusion_shapes(spark):
     assert fusion.min_max_fusion(run, run.limit(0)).count() == 0
 
 
+def test_rows_are_numbered_over_partitions(spark):
+    rnd = random.Random(4)
+    rows = [(g, rnd.choice([None, 0.1, 0.5, 0.5]), i) for g in ("hot", "a", None) for i in range(400 if g == "hot" else 5)]
+    df = spark.createDataFrame(rows, "query_id string, score double, item_id bigint")
+    got = {(r["query_id"], r["item_id"]): r["rank"] for r in ranks.number_rows(df, ["query_id"], [F.desc("score"), F.asc("item_id")]).collect()}
+    for g in ("hot", "a", None):
+        own = sorted((x for x in rows if x[0] == g), key=lambda x: (-(x[1] or -1), x[2]))
+        assert [got[g, x[2]] for x in own] == list(range(1, len(own) + 1))
+    assert ranks.number_rows(df.limit(0), ["query_id"], [F.asc("item_id")]).count() == 0
+
+
 def test_evaluation_by_hand(spark):
     run = spark.createDataFrame([("q", f"d{i}", 1.0 - i / 10, i + 1) for i in range(5)], "query_id string, item_id string, score double, rank int")
     qrels = spark.createDataFrame([("q", "d0", 3.0), ("q", "d2", 0.0), ("q", "d3", 4.0), ("q", "zz", 2.0)], "query_id string, item_id string, relevance double")

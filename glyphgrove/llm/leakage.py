@@ -95,18 +95,31 @@ class LeakIndex:
             places = met.groupBy("item", "start", "doc", "begin").agg(F.count("*").alias("n")).filter(F.col("n") == least - steps)
         return places.select("doc", "item").distinct()
 
-    def near(self, least: int, most_apart: int) -> DataFrame:
-        """``doc, item, n_terms``: documents with the terms of a run close together, in any order.
+    def near(self, least: int, most_apart: int, share: float = 0.5) -> DataFrame:
+        """``doc, item, n_terms``: documents with many of an item's terms close together, in any order.
 
-        The ``least`` rarest distinct terms of an item must occur within ``most_apart`` words of each other;
-        ``n_terms`` is the greatest number of them in such a stretch. Stretches are cut at fixed steps of half
-        their length, so any stretch of half that length is seen whole.
+        A stretch is any ``most_apart`` + 1 words in a row, wherever it starts. It matches if it has at least ``share``
+        of the item's distinct terms, and ``least`` of them, or all of the item's ``least`` rarest terms;
+        ``n_terms`` is the greatest number of the item's terms in a matching stretch. Items with fewer than ``least``
+        terms never match.
+
+        Of the ``known`` terms of an item that the corpus has, a stretch with ``need`` has ``few`` of the ``known - need
+        + few`` rarest. Blocks of a document without those are left out, so common terms are looked up for few items;
+        blocks overlap by ``most_apart``, so each stretch is whole in the block where it starts.
         """
-        per_item = Window.partitionBy("item").orderBy("df", "term")
-        rare = self.item_terms.select("item", "term").distinct().join(self.frequency, "term").withColumn("r", F.row_number().over(per_item)).filter(F.col("r") <= least).select("item", "term")
-        step = max(1, most_apart // 2)
-        hit = self.postings.join(self._side(rare), "term")
-        at = F.explode(F.array(F.floor(F.col("pos") / step), F.floor(F.col("pos") / step) - 1))
-        seen = hit.select("doc", "item", "term", at.alias("stretch")).distinct()
-        counted = seen.groupBy("doc", "item", "stretch").agg(F.count("*").alias("n"))
-        return counted.groupBy("doc", "item").agg(F.max("n").alias("n_terms")).filter(F.col("n_terms") >= least)
+        few, block = min(3, least), max(1, 8 * most_apart)
+        terms = self.item_terms.select("item", "term").distinct()
+        need = terms.groupBy("item").agg(F.greatest(F.lit(least), F.ceil(F.count("*") * share)).alias("need"))
+        per_item = Window.partitionBy("item")
+        known = terms.join(self.frequency, "term").withColumns({"r": F.row_number().over(per_item.orderBy("df", "term")), "known": F.count("*").over(per_item)})
+        cut = F.greatest(F.col("known") - F.col("need") + few, F.lit(least))
+        ranked = durable(known.join(need, "item").select("item", "term", "r", "need", cut.alias("cut")))
+        blocks = F.sequence(F.floor(F.greatest(F.col("pos") - most_apart, F.lit(0)) / block), F.floor(F.col("pos") / block))
+        postings = self.postings.withColumn("block", F.explode(blocks))
+        rare = postings.join(self._side(ranked.filter("r <= cut").select("item", "term")), "term").select("doc", "block", "item", "term").distinct()
+        likely = rare.groupBy("doc", "block", "item").agg(F.count("*").alias("n")).filter(F.col("n") >= few).drop("n")
+        hits = likely.join(self._side(ranked), "item").join(postings, ["doc", "block", "term"])
+        ahead = Window.partitionBy("doc", "item", "block").orderBy("pos").rangeBetween(0, most_apart)
+        seen = hits.select("doc", "item", "need", F.collect_set("r").over(ahead).alias("seen"))
+        match = (F.size("seen") >= F.col("need")) | (F.size(F.filter("seen", lambda r: r <= least)) >= least)
+        return seen.filter(match).groupBy("doc", "item").agg(F.max(F.size("seen")).cast("long").alias("n_terms"))

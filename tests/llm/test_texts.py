@@ -126,6 +126,48 @@ def test_near(spark):
     assert [tuple(r) for r in leakage.LeakIndex(d, b).near(3, 20).collect()] == [(1, 7, 3)]
 
 
+def brute_near(docs, items, least, apart):
+    df = {}
+    for _, t in docs:
+        for w in plain_words(t):
+            df[w] = df.get(w, 0) + 1
+    found = {}
+    for i, t in items:
+        terms = set(plain_words(t))
+        rarest = sorted((df[w], w) for w in terms if w in df)[:least]
+        for d, text in docs:
+            w = plain_words(text)
+            for k in range(len(w)):
+                seen = terms & set(w[k : k + apart + 1])
+                if len(seen) >= max(least, len(terms) / 2) or len(rarest) == least and all(x in seen for _, x in rarest):
+                    found[d, i] = max(len(seen), found.get((d, i), 0))
+    return {(d, i, n) for (d, i), n in found.items()}
+
+
+@pytest.mark.parametrize("start", [0, 20, 29, 30, 31, 470, 2850])
+def test_near_wherever_it_starts(spark, start):
+    d = spark.createDataFrame([(1, "x " * start + "one " + "y " * 44 + "two"), (2, "x " * start + "one " + "y " * 60 + "two"), (3, "one " + "y " * 59 + "two")], "doc_id bigint, text string")
+    b = spark.createDataFrame([(7, "one two")], "item_id bigint, text string")
+    assert {tuple(r) for r in leakage.LeakIndex(d, b).near(2, 60).collect()} == {(1, 7, 2), (3, 7, 2)}
+
+
+def test_near_half_of_an_item(spark):
+    d = spark.createDataFrame([(1, "eight seven six five four"), (2, "eight seven six"), (3, "one two three four five six seven eight")], "doc_id bigint, text string")
+    b = spark.createDataFrame([(7, "one two three four five six seven eight")], "item_id bigint, text string")
+    assert {tuple(r) for r in leakage.LeakIndex(d, b).near(4, 60).collect()} == {(1, 7, 5), (3, 7, 8)}
+
+
+def test_near_against_brute_force(spark):
+    rnd = random.Random(12)
+    pool = "a b c d e f g h i j k l m n o p q r".split()
+    text = lambda least, most: " ".join(rnd.choice(pool) for _ in range(rnd.randint(least, most)))
+    items = [(i, text(0, 18) + " absent" * (i % 2)) for i in range(10)] + [(20, None)]
+    docs = [(i, text(0, 120)) for i in range(40)] + [(100, None), (101, " ".join(["a", "zzz"] * 200))]
+    index = leakage.LeakIndex(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    for least, apart in ((2, 3), (5, 9), (6, 25)):
+        assert {tuple(r) for r in index.near(least, apart).collect()} == brute_near(docs, items, least, apart)
+
+
 def test_leaks_of_whole_table(spark, data):
     from glyphgrove.llm.queries import p8_found
 

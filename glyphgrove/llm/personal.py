@@ -33,8 +33,8 @@ KINDS = ("email", "phone", "id_number", "address", "person")
 ROUNDS, CONFIDENT, UNKNOWN_WEIGHT, SUPPORT = 4, 0.6, 0.25, 4
 #: What a pattern of two words counts beside one of three, which knows more of the place.
 SHORT_PATTERN = 0.8
-#: Lower-case uses from which a word is taken for no name.
-COMMON = 5
+#: Share of lower-case among a word's uses from which a name with it is taken for none, as long as nothing speaks for it.
+COMMON = 0.3
 
 _SCHEMA = "{id} {kind}, pool string, found string, seed string, left array<string>, right array<string>, form string, given string, family string, at int"
 
@@ -42,14 +42,15 @@ _SCHEMA = "{id} {kind}, pool string, found string, seed string, left array<strin
 def extract(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per candidate and document. Null and empty texts have none; texts are read whole.
 
-    Rows of the pool ``word`` have a null id: they count lower-case words (``found``, number in ``at``) per batch.
+    Rows of the pool ``word`` have a null id: they count the uses of words (``found``, number in ``at``) per batch, those
+    in lower case with the form ``lower``.
     """
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(i, *c) for i, t in zip(batch[ident], batch[text], strict=True) for c in personal_shapes.candidates(t)]
-            words = Counter(w for t in batch[text] for w in personal_shapes.lower_words(t))
-            rows += [(None, "word", w, None, [], [], "", "", "", n) for w, n in words.items()]
+            words = Counter(w for t in batch[text] for w in personal_shapes.word_uses(t))
+            rows += [(None, "word", w, None, [], [], form, "", "", n) for (w, form), n in words.items()]
             yield pd.DataFrame(rows, columns=[ident, "pool", "found", "seed", "left", "right", "form", "given", "family", "at"])
 
     kind = docs.schema[ident].dataType.simpleString()
@@ -77,16 +78,20 @@ def _patterns() -> Column:
 def bootstrap(candidates: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
     """``instance, label`` of every candidate instance; null where nothing speaks for a kind or against all.
 
-    ``candidates`` needs the columns of :func:`extract` and ``instance``, which settles all of them but the seed; where
+    ``candidates`` needs the columns of :func:`candidates_of`, of which ``instance`` settles all but the seed; where
     occurrences of an instance have different seeds, the first in alphabetical order holds, whatever order rows come in.
+    A name with a common word counts as none as long as nothing speaks for it; that says what its surroundings are
+    worth, but nothing of its words, which also stand in names.
     """
-    content = candidates.groupBy("instance").agg(F.min("seed").alias("seed"), *[F.first(c).alias(c) for c in ("pool", "left", "right", "form", "given", "family")])
-    content = durable(content)
+    content = candidates.groupBy("instance").agg(F.min("seed").alias("seed"), *[F.first(c).alias(c) for c in ("pool", "left", "right", "form", "given", "family", "given_lower", "family_lower")])
+    prior = F.when((F.col("pool") == "name") & (F.greatest("given_lower", "family_lower") >= COMMON), "none")
+    content = durable(content.withColumn("prior", prior))
     edges = durable(content.select("instance", F.explode(_patterns()).alias("p")).select("instance", "p.role", "p.value"))
-    labels = content.select("instance", "seed", F.col("seed").alias("label"))
+    labels = content.select("instance", F.coalesce("seed", "prior").alias("label"), F.col("seed").isNotNull().alias("sure"))
     classes = (*KINDS, "none")
+    counts = F.col("sure") | F.col("role").startswith("c_")
     for _ in range(rounds):
-        count = [F.sum((F.col("label") == k).cast("int")).alias(k) for k in classes]
+        count = [F.sum(((F.col("label") == k) & counts).cast("int")).alias(k) for k in classes]
         weights = edges.join(labels, "instance").groupBy("role", "value").agg(F.count("*").alias("n"), *[F.coalesce(c, F.lit(0)).alias(k) for c, k in zip(count, classes, strict=True)])
         known = sum((F.col(k) for k in classes), F.lit(0))
         weights = weights.filter(known > 0).select("role", "value", "n", known.alias("known"), *[(F.col(k) / (known + UNKNOWN_WEIGHT * (F.col("n") - known) + 1)).alias(k) for k in classes])
@@ -99,13 +104,18 @@ def bootstrap(candidates: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
             *[F.max(F.when(F.col("role") == r, F.col("person"))).alias(r) for r in ("given", "family")],
             F.max(F.when((F.col("role") == "ending") & (F.col("known") >= SUPPORT), F.col("person"))).alias("ending"),
         )
-        state = content.select("instance", "pool", "seed", F.col("form").alias("look"), F.col("given").alias("given_name")).join(scored, "instance", "left")
-        labels = durable(state.select("instance", "seed", F.coalesce("seed", _decide()).alias("label")))
+        state = content.select("instance", "pool", "seed", "prior", "given_lower", "family_lower", F.col("form").alias("look"), F.col("given").alias("given_name")).join(scored, "instance", "left")
+        settled = state.select("instance", "prior", F.coalesce("seed", _decide()).alias("told"))
+        labels = durable(settled.select("instance", F.coalesce("told", "prior").alias("label"), F.col("told").isNotNull().alias("sure")))
     return labels.select("instance", "label")
 
 
 def _decide() -> Column:
-    """Kind of an unlabelled instance from the confidence of its patterns, or null."""
+    """Kind of an unlabelled instance from the confidence of its patterns, or null.
+
+    A name's surroundings count less the more both of its words are used in lower case, or either where nothing else
+    speaks for the name; its given name alone counts less the more the family name is.
+    """
     c = lambda name: F.coalesce(name, F.lit(0.0))
     against = c("context_none") >= CONFIDENT
     context = lambda k: (c(f"context_{k}") >= CONFIDENT) & (c(f"context_{k}") > c("context_none"))
@@ -115,15 +125,16 @@ def _decide() -> Column:
         .when(against, "none")
     )
     initial = F.col("given_name").rlike(r"\A(\w\.[ -]?)+\z")
-    told = context("person")
-    family = F.greatest(c("family"), c("ending") * 0.6)
+    place = c("context_person") * (1 - F.least("given_lower", "family_lower"))
+    told = context("person") & (place >= CONFIDENT)
+    family = F.greatest(c("family"), c("ending") * 0.6 * (1 - F.col("family_lower")))
     mixed = F.col("look") != "caps"
     names = (
         F.when((c("given") >= 0.3) & (family >= 0.2), True)
         .when(initial & (family >= 0.3), True)
-        .when(mixed & (c("given") >= 0.6) & (F.col("look") == ""), True)
+        .when(mixed & (c("given") * (1 - F.col("family_lower")) >= 0.6) & (F.col("look") == ""), True)
         .when(told & ((c("given") >= 0.2) | (family >= 0.3)), True)
-        .when(told & mixed & (c("context_person") >= 0.75), True)
+        .when(told & mixed & (c("context_person") * (1 - F.greatest("given_lower", "family_lower")) >= 0.75), True)
     )
     sure = (c("given") >= 0.6) & (c("family") >= 0.3)
     person = F.when(sure, "person").when(against & (c("context_none") >= c("context_person")), "none").when(names, "person")
@@ -137,16 +148,22 @@ def _instance() -> Column:
 
 
 def candidates_of(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """Candidates with their instance; names with a word that the corpus writes in lower case are seeds against, titled
-    ones only if that is the family name."""
+    """Candidates with their instance and, for names, the shares of lower-case among all uses of either word in the corpus.
+
+    A title makes no seed where both words together are rather lower-case words; ``M.``, which may be an initial, makes
+    none before a common word in the family name's place.
+    """
     all_rows = durable(extract(docs, ident, text).withColumn("instance", _instance()))
-    common = all_rows.filter("pool = 'word'").groupBy("found").agg(F.sum("at").alias("n")).filter(F.col("n") >= COMMON).select(F.col("found").alias("word"))
+    lower = F.sum(F.when(F.col("form") == "lower", F.col("at")).otherwise(0)) / F.sum("at")
+    share = all_rows.filter("pool = 'word'").groupBy(F.col("found").alias("word")).agg(lower.alias("share")).filter("share > 0")
     seen = all_rows.filter("pool <> 'word'")
-    parts = F.array(F.struct(F.lit(False).alias("last"), F.col("given").alias("word")), F.struct(F.lit(True).alias("last"), F.col("family").alias("word")))
-    names = seen.filter("pool = 'name'").select("instance", F.explode(parts).alias("p")).select("instance", "p.last", "p.word").distinct()
-    plain = names.join(common, "word", "left_semi").groupBy("instance").agg(F.max("last").alias("plain_family"))
-    seed = F.when(F.col("plain_family"), "none").otherwise(F.coalesce("seed", F.when(F.col("plain_family").isNotNull(), F.lit("none"))))
-    return durable(seen.join(plain, "instance", "left").withColumn("seed", seed).drop("plain_family"))
+    parts = F.array(F.struct(F.lit("given_lower").alias("part"), F.col("given").alias("word")), F.struct(F.lit("family_lower").alias("part"), F.col("family").alias("word")))
+    names = seen.filter("pool = 'name'").select("instance", F.explode(parts).alias("p")).select("instance", "p.part", "p.word").distinct()
+    of = [F.coalesce(F.max(F.when(F.col("part") == p, F.col("share"))), F.lit(0.0)).alias(p) for p in ("given_lower", "family_lower")]
+    seen = seen.join(names.join(share, "word").groupBy("instance").agg(*of), "instance", "left").fillna(0.0, ["given_lower", "family_lower"])
+    initial = F.concat_ws("", F.slice("left", 1, 2)).isin(".m", "m^") & (F.col("family_lower") >= COMMON)
+    doubtful = (F.col("pool") == "name") & (F.col("seed") == "person") & ((F.col("given_lower") + F.col("family_lower") > 1) | initial)
+    return durable(seen.withColumn("seed", F.when(~F.coalesce(doubtful, F.lit(False)), F.col("seed"))))
 
 
 def find_personal(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:

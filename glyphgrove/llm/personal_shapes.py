@@ -139,9 +139,12 @@ def _label(before: str) -> str | None:
 _LOWER = re.compile(r"(?<![\w.@+\-'’])[a-zß-öø-ÿ]{2,}(?![\w@+\-]|\.\w)")
 
 
-def lower_words(text: str) -> list[str]:
-    """Words written in lower case, which names are not."""
-    return _LOWER.findall(text)
+_UPPER = re.compile(rf"(?<![\w.@+\-'’]){_NAME}(?![\w@+\-]|\.\w)")
+
+
+def word_uses(text: str) -> list[tuple[str, str]]:
+    """Words as case-folded, each with ``lower`` where it is written in lower case, which names are not, else empty."""
+    return [(w, "lower") for w in _LOWER.findall(text)] + [(w.casefold(), "") for w in _UPPER.findall(text)]
 
 
 def candidates(text: str) -> list[Candidate]:

@@ -221,3 +221,13 @@ def test_redaction(spark, found):
 def test_no_personal_information(spark):
     df = spark.createDataFrame([(1, None), (2, "nothing here")], "doc_id bigint, text string")
     assert personal.find_personal(df).count() == 0 and personal.find_personal(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("times", [1, 10])
+def test_names_that_are_words(spark, times):
+    texts = [t for _, t in reviews()] * times + ["Dr. Anna Young called again.", "Dr. Mark Ellerbrock called again.", "The box came from Mark Ellerbrock in May."] * 2
+    texts += ["A young fox made a mark there.", "They mark each young tree.", "The young ones left one mark."] * 3 * times
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [r["found"] for r in personal.find_personal(df).filter("kind = 'person'").collect()]
+    assert got.count("Anna Young") == 2 and got.count("Mark Ellerbrock") == 4
+    assert not any(f.startswith(("The", "They")) for f in got)

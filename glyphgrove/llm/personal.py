@@ -16,6 +16,7 @@ by a shuffle by instance, so adaptive execution may split it.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -78,6 +79,9 @@ def _patterns() -> Column:
 def bootstrap(candidates: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
     """``instance, label`` of every candidate instance; null where nothing speaks for a kind or against all.
 
+    ``more_given`` and ``more_family`` tell that a pair of names begins with a given name, or ends with a family name,
+    by which it may lengthen a name that it overlaps.
+
     ``candidates`` needs the columns of :func:`candidates_of`, of which ``instance`` settles all but the seed; where
     occurrences of an instance have different seeds, the first in alphabetical order holds, whatever order rows come in.
     A name with a common word counts as none as long as nothing speaks for it; that says what its surroundings are
@@ -89,6 +93,8 @@ def bootstrap(candidates: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
     edges = durable(content.select("instance", F.explode(_patterns()).alias("p")).select("instance", "p.role", "p.value"))
     labels = content.select("instance", F.coalesce("seed", "prior").alias("label"), F.col("seed").isNotNull().alias("sure"))
     classes = (*KINDS, "none")
+    pair = (F.col("pool") == "name") & (F.col("look") != "reversed") & (F.coalesce("seed", F.lit("person")) == "person")
+    more = {f"more_{n}": pair & (F.coalesce(n, F.lit(0.0)) >= least) & (F.col(f"{n}_lower") < COMMON) for n, least in (("given", 0.6), ("family", 0.3))}
     counts = F.col("sure") | F.col("role").startswith("c_")
     for _ in range(rounds):
         count = [F.sum(((F.col("label") == k) & counts).cast("int")).alias(k) for k in classes]
@@ -105,9 +111,9 @@ def bootstrap(candidates: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
             F.max(F.when((F.col("role") == "ending") & (F.col("known") >= SUPPORT), F.col("person"))).alias("ending"),
         )
         state = content.select("instance", "pool", "seed", "prior", "given_lower", "family_lower", F.col("form").alias("look"), F.col("given").alias("given_name")).join(scored, "instance", "left")
-        settled = state.select("instance", "prior", F.coalesce("seed", _decide()).alias("told"))
-        labels = durable(settled.select("instance", F.coalesce("told", "prior").alias("label"), F.col("told").isNotNull().alias("sure")))
-    return labels.select("instance", "label")
+        settled = state.select("instance", "prior", F.coalesce("seed", _decide()).alias("told"), *[c.alias(n) for n, c in more.items()])
+        labels = durable(settled.select("instance", F.coalesce("told", "prior").alias("label"), F.col("told").isNotNull().alias("sure"), *more))
+    return labels.select("instance", "label", *more)
 
 
 def _decide() -> Column:
@@ -170,16 +176,68 @@ def find_personal(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
     """``ident, kind, found, at`` of each piece of personal information; ``at`` is its first character's place.
 
     ``found`` is exactly as written. Null and empty texts have none. A corpus without any candidate gives no rows.
+    Names of more than two words come from overlapping pairs, which are joined per document.
     """
     seen = candidates_of(docs, ident, text)
-    labels = bootstrap(seen).filter(F.col("label").isin(*KINDS))
-    return seen.join(labels, "instance").select(ident, F.col("label").alias("kind"), "found", "at")
+    labels = bootstrap(seen).filter(F.col("label").isin(*KINDS) | F.col("more_given") | F.col("more_family"))
+    spans = durable(seen.join(labels, "instance").select(ident, "label", "found", "at", "form", "more_given", "more_family"))
+    others = spans.filter(F.col("label").isin(*KINDS) & (F.col("label") != "person")).select(ident, F.col("label").alias("kind"), "found", "at")
+    is_name = F.coalesce(F.col("label") == "person", F.lit(False))
+    pairs = spans.filter(is_name | F.col("more_given") | F.col("more_family"))
+    pair = F.struct("at", "found", is_name.alias("name"), (F.col("form") == "reversed").alias("reversed"), "more_given", "more_family")
+    names = pairs.groupBy(ident).agg(F.collect_list(pair).alias("_pairs"), F.max(is_name).alias("_any")).filter("_any")
+
+    @F.pandas_udf("array<struct<at int, found string>>")
+    def whole(column: pd.Series) -> pd.Series:
+        return column.map(whole_names)
+
+    names = names.select(ident, F.explode(whole("_pairs")).alias("p"))
+    return others.unionByName(names.select(ident, F.lit("person").alias("kind"), "p.found", "p.at"))
+
+
+def whole_names(pairs) -> list[tuple[int, str]]:
+    """``at, found`` of the names of one text from its overlapping pairs, each the longest that they make.
+
+    A pair that is no name by itself lengthens one to the left by a given name, or to the right by a family name. A
+    reversed name between two others, as in a list, is none, and what was taken for its initial may be a title.
+    """
+    pairs = sorted(pairs, key=lambda p: (p["at"], -len(p["found"])))
+    spans = [(p["at"], p["at"] + len(p["found"])) for p in pairs]
+    taken = [bool(p["name"]) for p in pairs]
+    start = None
+    for i in range(len(pairs) - 1, -1, -1):
+        a, b = spans[i]
+        taken[i] = taken[i] or bool(pairs[i]["more_given"]) and start is not None and a < start < b
+        if taken[i]:
+            start = a
+    reach = 0
+    for i, (a, b) in enumerate(spans):
+        taken[i] = taken[i] or bool(pairs[i]["more_family"]) and a < reach < b
+        if taken[i]:
+            reach = max(reach, b)
+    plain = [spans[i] for i in range(len(pairs)) if taken[i] and not pairs[i]["reversed"]]
+    starts, ends, last = [a for a, _ in plain], [], 0
+    for _, b in plain:
+        ends.append(last := max(last, b))
+    out: list[list] = []
+    for i, (a, b) in enumerate(spans):
+        if not taken[i]:
+            continue
+        if pairs[i]["reversed"] and (k := bisect_left(starts, a)) and ends[k - 1] > a and bisect_right(starts, a) < bisect_left(starts, b):
+            continue
+        if out and pairs[i]["reversed"] and personal_shapes.is_title(out[-1][1][: a - out[-1][0]]):
+            out[-1] = [a, pairs[i]["found"]]
+        elif out and a < out[-1][0] + len(out[-1][1]):
+            out[-1][1] += pairs[i]["found"][out[-1][0] + len(out[-1][1]) - a :]
+        else:
+            out.append([a, pairs[i]["found"]])
+    return [(a, f) for a, f in out]
 
 
 def redact(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """``ident, text`` with every piece of personal information replaced by ``[KIND]``; all else stays as it is.
 
-    Of overlapping pieces the one that starts first, then the longer one is replaced. Documents without any keep
+    Overlapping pieces are replaced as one, by the kind of the one that starts first, then of the longer one. Documents without any keep
     their text, null and empty ones included. Pieces are gathered per document, which holds no more of them than
     its own text has characters.
     """
@@ -195,7 +253,7 @@ def redact(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFr
             for s in found:
                 if s["at"] >= done:
                     out += [t[done : s["at"]], f"[{s['kind'].upper()}]"]
-                    done = s["at"] - s["m"]
+                done = max(done, s["at"] - s["m"])
             return "".join(out) + t[done:]
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)])

@@ -90,6 +90,10 @@ _SIR = re.compile(rf"M\. ?(?={_CAP}\.)")
 _STREET_NEXT = re.compile(rf"\s+(?:{STREET_AFTER})\b", re.IGNORECASE)
 
 
+def is_title(text: str) -> bool:
+    return bool(_TITLE.fullmatch(text.strip()))
+
+
 class Candidate(NamedTuple):
     pool: str  # mail, number, address, name
     found: str

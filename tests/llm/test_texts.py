@@ -231,3 +231,30 @@ def test_names_that_are_words(spark, times):
     got = [r["found"] for r in personal.find_personal(df).filter("kind = 'person'").collect()]
     assert got.count("Anna Young") == 2 and got.count("Mark Ellerbrock") == 4
     assert not any(f.startswith(("The", "They")) for f in got)
+
+
+def test_whole_names():
+    text = "Mara Lena Brannardo, Ana Garcia Lopez Diaz, Bruno Klein"
+    pair = lambda found, name=True, **more: {"at": text.index(found), "found": found, "name": name, "reversed": "," in found, "more_given": False, "more_family": False} | more
+    pairs = [pair("Lena Brannardo"), pair("Mara Lena", False, more_given=True), pair("Ana Garcia"), pair("Garcia Lopez", False, more_family=True), pair("Lopez Diaz", False, more_family=True), pair("Bruno Klein"), pair("Diaz, Bruno")]
+    assert [f for _, f in personal.whole_names(pairs)] == text.split(", ")
+    assert personal.whole_names([pair("Mara Lena", False, more_given=True)]) == []
+    french = "M. Klein, Bruno"
+    assert [f for _, f in personal.whole_names([{**pair("Bruno Klein"), "at": 0, "found": "M. Klein"}, {**pair("Diaz, Bruno"), "at": 3, "found": french[3:]}])] == ["Klein, Bruno"]
+    assert personal.whole_names([pair("Mara Lena"), pair("Lena Brannardo", False)]) == [(0, "Mara Lena")]
+
+
+def test_names_of_several_words(spark):
+    texts = [t for _, t in reviews()] + ["It was Clara Marta Hartwell who wrote.", "It was Olga Hartwell Birkmann who wrote.", "My name is Anna Elena Greta Dahlqvist and I agree."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["found"] for r in personal.find_personal(df).filter(f"doc_id >= {len(texts) - 3}").collect()}
+    assert found == {"Clara Marta Hartwell", "Olga Hartwell Birkmann", "Anna Elena Greta Dahlqvist"}
+    out = {r["doc_id"]: r["text"] for r in personal.redact(df).collect()}
+    assert [out[i] for i in range(len(texts) - 3, len(texts))] == ["It was [PERSON] who wrote."] * 2 + ["My name is [PERSON] and I agree."]
+
+
+def test_overlapping_pieces_are_replaced_whole(spark, monkeypatch):
+    pieces = spark.createDataFrame([(1, "person", "ab cd", 0), (1, "address", "cd ef", 3), (1, "phone", "gh", 9)], "doc_id bigint, kind string, found string, at int")
+    monkeypatch.setattr(personal, "find_personal", lambda *_: pieces)
+    df = spark.createDataFrame([(1, "ab cd ef gh i")], "doc_id bigint, text string")
+    assert personal.redact(df).first()["text"] == "[PERSON] [PHONE] i"

@@ -127,7 +127,7 @@ def _decide() -> Column:
     context = lambda k: (c(f"context_{k}") >= CONFIDENT) & (c(f"context_{k}") > c("context_none"))
     number = (
         F.when(context("id_number") & (c("context_id_number") >= c("context_phone")) & (c("form_phone") < CONFIDENT), "id_number")
-        .when((context("phone") | ((c("form_phone") >= CONFIDENT) & ~against)) & (c("form_id_number") < CONFIDENT), "phone")
+        .when((F.length(F.regexp_replace("look", "[^0]", "")) <= 15) & (context("phone") | ((c("form_phone") >= CONFIDENT) & ~against)) & (c("form_id_number") < CONFIDENT), "phone")
         .when(against, "none")
     )
     initial = F.col("given_name").rlike(r"\A(\w\.[ -]?)+\z")

@@ -33,6 +33,8 @@ STREET_AFTER = r"street|st|road|rd|lane|ln|avenue|ave|court|ct|terrace|close|dri
 STREET_BEFORE_ES = r"calle|c/|paseo|plaza|avenida|avda\.?|camino|ronda|travesía|carretera|carrera|vía|glorieta|cuesta"
 STREET_BEFORE_FR = r"rue|avenue|boulevard|bd|place|chemin|impasse|quai|allée|cours|square|route|passage|sentier|voie|faubourg"
 STREET_COMPOUND = r"straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring|chaussee|steig|pfad|stieg|markt"
+#: Capitalised words after a French street's name that begin the next sentence.
+STARTS = r"Le|La|Les|L['’]\w+|Un|Une|Des|Du|De|Il|Elle|Ils|Elles|On|Je|J['’]\w+|Nous|Vous|Ce|C['’]\w+|Cet|Cette|Ces|Mon|Ma|Mes|Son|Sa|Ses|Notre|Votre|Mais|Et|Pour|À|Après|D['’]\w+|Très|Adresse|The|This|It|We|My|If|After|For"
 #: First words of German street names that have no kind of street.
 STREET_PREPOSITION = r"am|an der|an den|im|in der|auf der|auf dem|zum|zur|unter den|hinter der|vor dem|beim"
 PARTICLES = r"van|von|de|der|den|da|di|del|della|la|le|du|dos|das|ten|ter|zu|zum|bin|ibn|al|el|y"
@@ -52,7 +54,7 @@ _HOUSE = r"\d{1,4}(?:\s?[A-Za-z](?![\w]))?(?:\s?[-–]\s?\d{1,4}[A-Za-z]?)?"
 ADDRESS = [
     # number, then a name of one to three words, then the kind of street
     re.compile(rf"(?<![\w./\-]){_HOUSE} (?:{_NAME} ){{1,3}}?(?P<s>(?i:{STREET_AFTER}))(?!\w)(?:(?<=St)\.(?= [a-z,])|)"),
-    re.compile(rf"(?<![\w./\-]){_HOUSE}(?:\s(?i:bis|ter|quater))?,? (?P<s>(?i:{STREET_BEFORE_FR}))(?: (?i:de la|des|du|de|d['’]|de l['’]|de l))? ?['’]?{_NAME}"),
+    re.compile(rf"(?<![\w./\-]){_HOUSE}(?:\s(?i:bis|ter|quater))?,? (?P<s>(?i:{STREET_BEFORE_FR}))(?: (?i:de la|des|du|de|d['’]|de l['’]|de l))? ?['’]?{_NAME}(?: (?!(?:{STARTS})(?!\w)){_NAME}(?!\w| ?:))*"),
     re.compile(rf"(?<!\w)(?P<s>(?i:{STREET_BEFORE_ES}))(?: (?i:de la|de los|de las|del|de))? ?{_NAME}(?: {_NAME})?,? (?:(?i:n[º°o.]|núm\.?|número)\s?)?{_HOUSE}(?!\w)"),
     re.compile(rf"(?<!\w)(?:{_CAP}[\w\-]*[\w] )?(?P<s>(?i:straße|strasse|platz|allee|weg|gasse))(?<=[A-ZÄÖÜa-zß]) {_HOUSE}(?!\w)"),
     re.compile(rf"(?<!\w){_CAP}[\w\-]*?(?P<s>(?i:{STREET_COMPOUND})) ?{_HOUSE}(?!\w)"),
@@ -73,6 +75,11 @@ ID = re.compile(
     r"(?<![\w/.@+\-])(?:[A-Za-z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Za-z]|\d{8}[- ]?[A-Z]|\d{3}[- ]\d{2}[- ]\d{4}|[A-Za-z]\d{2}[A-Za-z]\d{2}[A-Za-z]\d{2,4}|[A-Za-z]{1,3}\d{6,9}|\d{7,11}[A-Za-z]?|[A-Za-z]\d{7}[A-Za-z])(?!\w)(?![.\-/]\d)"
 )
 
+#: Any run of digits or of mixed letters and digits, in pieces that each have a digit.
+RUN = re.compile(r"(?<![\w/.@+\-])\+?[A-Za-z]*\d[A-Za-z0-9]*(?:[ .\-/][A-Za-z]*\d[A-Za-z0-9]*)*(?!\w)(?![.\-/]\d)")
+#: Letters and digits of a run from which it is a candidate, and from which one with a telling label is.
+RUN_LEAST, TOLD_LEAST = 6, 4
+
 _INITIALS = rf"(?:{_CAP}\.[ -]?)+"
 _PARTICLE = rf"(?:(?i:{PARTICLES}) ){{0,3}}"
 PERSON = re.compile(
@@ -182,10 +189,27 @@ def candidates(text: str) -> list[Candidate]:
     numbers = {m.span() for m in PHONE.finditer(text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15}
     numbers |= {m.span() for m in ID.finditer(text)}
     numbers = [(a, b) for a, b in numbers if free(a, b)]
+    known = bytearray(len(text))
+    for a, b in numbers:
+        known[a:b] = b"\1" * (b - a)
+    doubtful = set()
+    loose = [(*m.span(), 7) for m in PHONE.finditer(text)] + [(*m.span(), TOLD_LEAST) for m in RUN.finditer(text)]
+    for a, b, least in loose:
+        n = sum(c.isalnum() for c in text[a:b])
+        if n < least or sum(c.isdigit() for c in text[a:b]) < 3 or 1 in known[a:b] or not free(a, b):
+            continue
+        if n < RUN_LEAST:
+            if _label(text[max(0, a - 48) : a]) not in ("phone", "id_number"):
+                continue
+            doubtful.add((a, b))
+        if sum(c.isdigit() for c in text[a:b]) > 15 and _label(text[max(0, a - 48) : a]) == "phone":
+            doubtful.add((a, b))
+        numbers.append((a, b))
+        known[a:b] = b"\1" * (b - a)
     reach = 0
     for a, b in sorted(numbers, key=lambda x: (x[0], -x[1])):
         if b > reach:  # not inside a longer one
-            add("number", a, b, _label(text[max(0, a - 48) : a]), form=_shape(text[a:b]))
+            add("number", a, b, None if (a, b) in doubtful else _label(text[max(0, a - 48) : a]), form=_shape(text[a:b]))
         reach = max(reach, b)
     for a, b in numbers:
         take(a, b)

@@ -8,7 +8,7 @@ import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from glyphgrove.llm import leakage, personal, tokens
+from glyphgrove.llm import leakage, personal, personal_shapes, tokens
 
 
 @pytest.fixture(scope="module")
@@ -258,3 +258,17 @@ def test_overlapping_pieces_are_replaced_whole(spark, monkeypatch):
     monkeypatch.setattr(personal, "find_personal", lambda *_: pieces)
     df = spark.createDataFrame([(1, "ab cd ef gh i")], "doc_id bigint, text string")
     assert personal.redact(df).first()["text"] == "[PERSON] [PHONE] i"
+
+
+def test_other_shapes_are_candidates():
+    def seeds(text):
+        return [(c.found, c.seed) for c in personal_shapes.candidates(text) if c.pool in ("number", "address")]
+
+    assert seeds("Tel. 555-0134 is new.") == [("555-0134", "phone")]
+    assert seeds("My phone: 4567 8901.") == [("4567 8901", "phone")]
+    assert seeds("codice fiscale RSSMRA85T10A562S") == [("RSSMRA85T10A562S", "id_number")]
+    assert seeds("Order no. AB12CD34 and 555 0134.") == [("AB12CD34", "none"), ("555 0134", None)]
+    assert seeds("Tel. 4711 or 12 days, page 1234.") == [("4711", None)]
+    assert seeds("Passport no. 969-86-6801, 12 days") == [("969-86-6801", "id_number")]
+    assert seeds("au 12 rue des Ormes La livraison") == [("12 rue des Ormes", "address")]
+    assert seeds("au 12 rue Victor Hugo, puis") == [("12 rue Victor Hugo", "address")]

@@ -8,8 +8,9 @@ The work follows the size of the reference tables once:
   deleted), which decides nearly all of them;
 * only references between those two times are compared with the key's intervals, in a second left anti-join.
 
-A parent key with very many rows is pre-aggregated before it is shuffled, and the explicit repartition after
-each join lets adaptive execution split a hot key's join.
+A parent key with very many rows is pre-aggregated before it is shuffled. Both joins are of two plainly shuffled
+sides, so adaptive execution splits a hot key in them; what they leave is kept in the checkpoint folder or shuffled
+on other columns.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphgrove.runtime import apart, durable
+
 
 @dataclass(frozen=True)
 class Reference:
@@ -59,11 +62,11 @@ def orphan_references(refs: list[Reference], parent: DataFrame, parent_key: str,
     keys = summary.withColumn("there", F.lit(True)).unionByName(absent.withColumn("there", F.lit(False)), allowMissingColumns=True)
     period = F.date_format("at", "yyyy-MM")
     at = F.col("at")
-    met = refers.join(keys, F.col("missing_id") == F.col("id"))
+    met = refers.join(apart(keys, "id"), F.col("missing_id") == F.col("id"))
     late = F.col("first_load").isNull() | (at < F.col("first_load"))
     over = F.coalesce(at >= F.col("last_end"), F.lit(True))
     reason = F.when(~F.col("there"), "missing").when(late, "late").when(over, "deleted")
-    judged = met.filter(~F.col("there") | (at.isNotNull() & ~F.coalesce(at >= F.col("kept_from"), F.lit(False)))).withColumn("reason", reason)
+    judged = durable(met.filter(~F.col("there") | (at.isNotNull() & ~F.coalesce(at >= F.col("kept_from"), F.lit(False)))).select("table_name", "field", "missing_id", "at", reason.alias("reason")))
     settled = judged.filter("reason IS NOT NULL").select("table_name", "field", "missing_id", period.alias("period"), "reason")
     open_ = judged.filter("reason IS NULL").select("table_name", "field", "missing_id", "at")
     i = intervals.filter("since is not null and until is not null").distinct().alias("i")
@@ -74,4 +77,4 @@ def orphan_references(refs: list[Reference], parent: DataFrame, parent_key: str,
     )
     found = settled.unionByName(gap)
     by = ["table_name", "field", "missing_id", "period", "reason"]
-    return found.repartition(*by).groupBy(*by).agg(F.count("*").alias("n_references"))
+    return found.groupBy(*by).agg(F.count("*").alias("n_references"))

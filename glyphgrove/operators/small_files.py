@@ -12,7 +12,10 @@ zstandard members are appended as the complete frames they are, because a sequen
 stream. Lengths and checksums of every segment are kept in a manifest and checked after writing.
 
 A folder may hold a third of all files: its files are spread over hash buckets whose number follows from
-the folder's total size, so that no offset window and no writer ever sees more than one bucket.
+the folder's total size and number of files, so that no offset window and no writer ever sees more than one bucket.
+The join that gives files their folder's number of buckets is one that adaptive execution can split.
+
+Paths without a scheme are places of a file system that all executors share, mounted at one place.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphgrove.functions.paths import canonical_path_column
-from glyphgrove.runtime import spread
+from glyphgrove.runtime import apart, durable, spread
 
 #: Endings of document names.
 DOCUMENT_ENDINGS = ("mml", "mathml", "xhtml", "html", "tex")
@@ -58,23 +61,29 @@ def is_document(name: Column) -> Column:
     return F.lower(name).rlike(rf"\.({'|'.join(DOCUMENT_ENDINGS)})\z") & ~name.rlike(r"\A[._]")
 
 
-def plan_packs(files: DataFrame, *, small_below: int = 8192, least_files: int = 20, target_bytes: int = 256 << 20, packs_per_bucket: int = 8) -> DataFrame:
+def plan_packs(files: DataFrame, *, small_below: int = 8192, least_files: int = 20, target_bytes: int = 256 << 20, packs_per_bucket: int = 8, files_per_bucket: int = 1_000_000) -> DataFrame:
     """Assign every small document of a crowded folder to a pack.
 
     Result: ``folder, file, file_id, n_bytes, pack, planned_offset``; a file occurs exactly once. Packs end at
     about ``target_bytes`` (one separator byte is reckoned for each member), and a pack holds files of one
     folder only. A folder is crowded if at least ``least_files`` small documents lie directly in it. Files of
-    unknown, zero or negative size are not small. An empty input gives an empty plan.
+    unknown, zero or negative size are not small. A bucket holds about ``packs_per_bucket`` packs or ``files_per_bucket``
+    files, whichever is reached first. An empty input gives an empty plan.
+
+    The small documents are kept in the checkpoint folder, so that paths are read once.
     """
-    small = files.filter(is_document(F.col("name")) & (F.col("n_bytes") > 0) & (F.col("n_bytes") < small_below)).select("folder", "file", "file_id", "n_bytes")
+    small = files.filter(is_document(F.col("name")) & (F.col("n_bytes") > 0) & (F.col("n_bytes") < small_below))
+    small = durable(small.select("folder", "name", "file_id", "n_bytes"))
+    buckets = F.greatest(F.ceil(F.col("folder_bytes") / F.lit(target_bytes * packs_per_bucket)), F.ceil(F.col("n_small") / F.lit(files_per_bucket)))
     crowded = (
         small.groupBy("folder")
         .agg(F.count("*").alias("n_small"), F.sum(F.col("n_bytes") + 1).alias("folder_bytes"))
         .filter(F.col("n_small") >= least_files)
-        .select("folder", F.ceil(F.col("folder_bytes") / F.lit(target_bytes * packs_per_bucket)).alias("n_buckets"))
+        .select("folder", buckets.alias("n_buckets"))
     )
+    file = F.concat_ws("/", "folder", "name").alias("file")
     # the shuffle by bucket is explicit: the window could do with the join's partitions, where a hot folder is one task
-    placed = small.join(crowded, "folder").withColumn("bucket", F.pmod(F.xxhash64("file"), F.col("n_buckets"))).repartition("folder", "bucket")
+    placed = small.join(apart(crowded, "folder"), "folder").select("folder", file, "file_id", "n_bytes", F.pmod(F.xxhash64("name"), F.col("n_buckets")).alias("bucket")).repartition("folder", "bucket")
     before = Window.partitionBy("folder", "bucket").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.col("n_bytes") + 1).over(before), F.lit(0))
     return (
@@ -150,16 +159,54 @@ class _Joiner:
 def _open_fs(uri: str):
     from pyarrow import fs
 
+    uri = re.sub(r"\Afile:/+", "/", uri)
     return fs.FileSystem.from_uri(uri) if re.match(r"[a-z][a-z0-9+]+://", uri) else (fs.LocalFileSystem(), uri)
 
 
+def _read_bytes(uri: str) -> bytes | None:
+    """Content of a file; null if it isn't there or can't be read."""
+    try:
+        fs, place = _open_fs(uri)
+        with fs.open_input_stream(place) as f:
+            return f.read()
+    except OSError:
+        return None
+
+
+def write_members(docs: DataFrame, target: str, *, folder: str, name: str, content: str) -> DataFrame:
+    """Write each row's ``content`` as a file of its own, ``target/folder/name``, and return the listing ``path, n_bytes``.
+
+    Null contents have no file. A repeated attempt writes the same files again. The listing is lazy: write it to make
+    the files.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = _open_fs(target)
+        made: set[str] = set()
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                if r.folder not in made:
+                    fs.create_dir(f"{base}/{r.folder}", recursive=True)
+                    made.add(r.folder)
+                data = r.content.encode()
+                with fs.open_output_stream(f"{base}/{r.folder}/{r.name}") as f:
+                    f.write(data)
+                rows.append((f"{base}/{r.folder}/{r.name}", len(data)))
+            yield pd.DataFrame(rows, columns=["path", "n_bytes"])
+
+    named = docs.select(F.col(folder).alias("folder"), F.col(name).alias("name"), F.col(content).alias("content")).filter("folder IS NOT NULL AND name IS NOT NULL AND content IS NOT NULL")
+    return spread(named, "folder", "name").mapInPandas(write, "path string, n_bytes bigint")
+
+
 def write_packs(plan: DataFrame, target: str, *, kind: str = "lines", header_lines: int = 0, ending: str = "") -> DataFrame:
     """Write the packs of ``plan`` under the shared folder ``target`` and return their manifest.
 
     ``kind`` is ``lines`` or ``zstd``. Each pack is written by one task under a name of its attempt and put in
     place by a rename, so a retried task leaves neither a torn nor a doubled pack. A member that can't be
-    joined (incomplete frame, other header) or whose length is not the planned one keeps its own file and gets
-    a status other than ``ok``; no bytes of it are in the pack. The manifest is lazy: write it to make the packs.
+    joined (incomplete frame, other header), that can't be read or whose length is not the planned one keeps its own
+    file and gets a status other than ``ok``; no bytes of it are in the pack. The manifest is lazy: write it to make
+    the packs.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,12 +228,13 @@ def write_packs(plan: DataFrame, target: str, *, kind: str = "lines", header_lin
                     part = f"{base}{pack}{ending}.{TaskContext.get().taskAttemptId()}"
                     fs.create_dir(os.path.dirname(part), recursive=True)
                     out = fs.open_output_stream(part)
-                source, place = _open_fs(r.file)
-                with source.open_input_stream(place) as f:
-                    raw = f.read()
-                data, status = joiner.accept(raw) if len(raw) == r.n_bytes else (b"", "other length")
+                raw = _read_bytes(r.file)
+                if raw is None:
+                    data, status = b"", "not there"
+                else:
+                    data, status = joiner.accept(raw) if len(raw) == r.n_bytes else (b"", "other length")
                 out.write(data)
-                rows.append((r.file, pack, offset, len(data), len(raw), zlib.crc32(data), status))
+                rows.append((r.file, pack, offset, len(data), len(raw or b""), zlib.crc32(data), status))
                 offset += len(data)
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in MANIFEST.split(", ")])
         close()

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,25 +34,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-#: Bytes up to which a table is spread over all cores before Python work; larger ones come in enough pieces.
-SPREAD_BYTES = 1 << 30
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by ``keys`` before Python work, in pieces of the size that adaptive execution aims at.
+
+    A table of one file with one row group is one task however long its rows take, and its number of splits doesn't
+    tell so. The pieces are measured as they are written: small ones are joined, large ones split, at every size alike.
+    """
+    return df.hint("rebalance", *keys)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """A small table hashed over all cores, a large one as it is.
+def apart(df: DataFrame, *keys: str) -> DataFrame:
+    """``df``, one row per key, laid out so that a join by ``keys`` must shuffle it itself.
 
-    A table of one file with one row group is one task however long its rows take. The size is the optimiser's
-    estimate; the result is the same either way.
+    A join with an aggregate on its own keys reads the aggregate's partitioning, and adaptive execution splits a hot key
+    only where both sides of a join were shuffled for it. One more shuffle of the aggregate buys that.
     """
-    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+    return df.repartition(F.xxhash64(*keys))
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage there.
+    """Materialise ``df`` as a Parquet table in the shared checkpoint folder and cut its lineage there.
 
-    Loss of an executor afterwards costs nothing but a re-read of those files.
+    Loss of an executor afterwards costs nothing but a re-read of those files. Readers take the columns that they need,
+    and joins know the table's size.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/glyphgrove-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

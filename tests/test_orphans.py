@@ -1,6 +1,7 @@
 from datetime import datetime as dt
 
 from glyphgrove.operators import orphans
+from tests.skew import large
 
 
 def day(n):
@@ -35,3 +36,13 @@ def test_empty_tables(spark):
     assert run(spark, [], []) == set()
     assert run(spark, [], [(1, 1)]) == {(1, "2020-01", "missing", 1)}
     assert run(spark, [(1, 1, None)], []) == set()
+
+
+def test_hot_key_is_split(spark):
+    """A third of all references have one key, which is in the table, deleted, or open between intervals."""
+    parents = [(1, 5, None), (2, 1, 5), (2, 10, 15), *[(i, 5, None) for i in range(10, 500)]]
+    children = [(3, 1 + i % 60) for i in range(4000)] + [(2, 1 + i % 20) for i in range(4000)] + [(10 + i % 600, 7) for i in range(4000)]
+    plain = run(spark, parents, children)
+    with large(spark) as split:
+        assert run(spark, parents, children) == plain
+        assert split() >= 1

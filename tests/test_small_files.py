@@ -7,6 +7,7 @@ import zstandard
 
 from glyphgrove.functions.paths import canonical_path
 from glyphgrove.operators import small_files as sf
+from tests.skew import large
 
 ROOT = "/data/root"
 
@@ -138,3 +139,36 @@ def test_damage_is_noticed(spark, tmp_path):
     p.write_bytes(p.read_bytes()[:-2] + b"X\nmore")
     r = sf.verify_packs(manifest, str(tmp_path / "out")).first()
     assert r["n_bad"] == 1 and not r["length_ok"]
+
+
+def test_hot_folder_is_split(spark):
+    rows = [(i, f"hot/{i}.mml", 1000, None) for i in range(3000)] + [(3000 + i, f"f{i % 200}/{i}.mml", 10, None) for i in range(6000)]
+    want = brute(rows, 20)
+    with large(spark) as split:
+        plan = sf.plan_packs(sf.inventory(spark.createDataFrame(rows, LISTING), ROOT))
+        assert sorted(r["file_id"] for r in plan.collect()) == want
+        assert split() >= 1
+
+
+def test_buckets_follow_the_number_of_files(spark):
+    rows = [(i, f"f/{i}.mml", 1, None) for i in range(900)]
+    plan = sf.plan_packs(sf.inventory(spark.createDataFrame(rows, LISTING), ROOT), files_per_bucket=100).collect()
+    packs = collections.Counter(r["pack"] for r in plan)
+    assert len(packs) == 9 and max(packs.values()) < 200 and sum(packs.values()) == 900
+
+
+def test_member_that_is_gone(spark, tmp_path):
+    rows = make(tmp_path, {"a.mml": b"1\n", "b.mml": b"2\n"})
+    (tmp_path / "in" / "a.mml").unlink()
+    manifest, checked, packs = pack(spark, tmp_path, rows)
+    assert manifest["a.mml"]["status"] == "not there" and packs == [b"2\n"] and checked[0]["n_files"] == 1
+
+
+def test_members_are_written_packed_and_verified(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"d{i % 2}", f"{i}.html", None if i == 5 else "äx\n" * (i % 3), "clash") for i in range(60)], "doc_id bigint, f string, n string, text string, path string")
+    listing = sf.write_members(docs, str(tmp_path / "in"), folder="f", name="n", content="text")
+    rows = [(i, r["path"], r["n_bytes"], None) for i, r in enumerate(listing.collect())]
+    assert len(rows) == 59 and all((tmp_path / "in" / p.split("/in/")[1]).stat().st_size == n for _, p, n, _ in rows)
+    manifest, checked, packs = pack(spark, tmp_path, rows)
+    assert sum(r["n_files"] for r in checked) == len(manifest) == sum(n > 0 for *_, n, _ in rows)
+    assert b"".join(packs).decode() == "äx\n" * sum(n // 4 for *_, n, _ in rows)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphgrove.runtime import durable
+from glyphgrove.runtime import apart, durable
 
 #: Every sign that counts as white space, Unicode included, as ranges of a character class.
 SPACE = "\\u0009-\\u000D\\u001C-\\u0020\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
@@ -56,7 +56,7 @@ def find_copies(records: DataFrame, ident: str, fields: dict[str, str]) -> DataF
     just the values of those records are shuffled and kept in the checkpoint folder. Each is then compared value by
     value with its group's kept record, so a chance hash collision joins nothing; what fails that comparison is grouped
     again by its values. A group with a third of all records is one row after the aggregate and a hot key of the
-    joins, which adaptive execution splits.
+    joins, whose two sides are each shuffled for them, so that adaptive execution splits it.
     """
     cols = list(fields)
     names = [f"_v{i}" for i in range(len(cols))]
@@ -64,7 +64,7 @@ def find_copies(records: DataFrame, ident: str, fields: dict[str, str]) -> DataF
     f = ["_f1", "_f2"]
     base = base.withColumns(dict(zip(f, fingerprint([(fields[c], F.col(n)) for c, n in zip(cols, names, strict=True)]), strict=True)))
     groups = base.groupBy(*f).agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    members = durable(base.join(groups, f))
+    members = durable(base.join(apart(groups, *f), f))
     kept = members.filter("_id = _first").select(*f, F.struct(*names).alias("_k"))
     by_field: dict[str, list[str]] = {}
     for c, n in zip(cols, names, strict=True):
@@ -75,16 +75,15 @@ def find_copies(records: DataFrame, ident: str, fields: dict[str, str]) -> DataF
     # chance collisions: the same fingerprint, other values; as good as never a row
     exact = [F.array_sort(F.array(*ns)).alias(f"_e{i}") for i, ns in enumerate(by_field.values())]
     keys = [*f, *[f"_e{i}" for i in range(len(exact))]]
-    # the explicit shuffle lets adaptive execution split the join before it
-    strays = met.filter(~F.col("_equal")).select(*f, "_id", *exact).repartition(*keys)
+    strays = durable(met.filter(~F.col("_equal")).select(*f, "_id", *exact))
     first = strays.groupBy(*keys).agg(F.min("_id").alias("kept_id"))
-    rest = strays.join(first, keys).filter("_id <> kept_id").select("kept_id", F.col("_id").alias(ident))
+    rest = strays.join(apart(first, *keys), keys).filter("_id <> kept_id").select("kept_id", F.col("_id").alias(ident))
     return copies.unionByName(rest)
 
 
 def collapse(records: DataFrame, ident: str, fields: dict[str, str]) -> DataFrame:
     """``kept_id, n_copies``: one row per distinct record with the number of its copies, itself included."""
     copies = find_copies(records, ident, fields)
-    surplus = copies.groupBy(F.col("kept_id").alias("_kept")).agg(F.count("*").alias("_n"))
+    surplus = apart(copies.groupBy(F.col("kept_id").alias("_kept")).agg(F.count("*").alias("_n")), "_kept")
     single = records.select(F.col(ident).alias("kept_id")).join(copies.select(F.col(ident).alias("kept_id")), "kept_id", "left_anti")
     return single.join(surplus, F.col("kept_id") == F.col("_kept"), "left").select("kept_id", (F.coalesce("_n", F.lit(0)) + 1).alias("n_copies"))

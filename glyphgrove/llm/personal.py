@@ -10,8 +10,8 @@
 
 Instances are distinct (pool, text, surroundings): copies of a text count once, however many there are, and are
 merged by a combinable aggregate before any shuffle by pattern. Patterns are aggregated map-side; a pattern as
-common as a third of all instances is one row after aggregation and a hot key of the join back, which is followed
-by a shuffle by instance, so adaptive execution may split it.
+common as a third of all instances is one row after aggregation and a hot key of the join back, whose two sides are
+each shuffled for it, so adaptive execution splits it.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphgrove.llm import personal_shapes
-from glyphgrove.runtime import durable, spread
+from glyphgrove.runtime import apart, durable, spread
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 
@@ -101,7 +101,7 @@ def bootstrap(candidates: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
         weights = edges.join(labels, "instance").groupBy("role", "value").agg(F.count("*").alias("n"), *[F.coalesce(c, F.lit(0)).alias(k) for c, k in zip(count, classes, strict=True)])
         known = sum((F.col(k) for k in classes), F.lit(0))
         weights = weights.filter(known > 0).select("role", "value", "n", known.alias("known"), *[(F.col(k) / (known + UNKNOWN_WEIGHT * (F.col("n") - known) + 1)).alias(k) for k in classes])
-        met = edges.join(weights, ["role", "value"])
+        met = edges.join(apart(weights, "role", "value"), ["role", "value"])
         context = F.col("role").startswith("c_") & (F.col("known") >= SUPPORT)
         weight = F.when(F.col("role").isin("c_left2", "c_right2"), SHORT_PATTERN).otherwise(1.0)
         scored = met.groupBy("instance").agg(
@@ -166,7 +166,7 @@ def candidates_of(docs: DataFrame, ident: str, text: str) -> DataFrame:
     parts = F.array(F.struct(F.lit("given_lower").alias("part"), F.col("given").alias("word")), F.struct(F.lit("family_lower").alias("part"), F.col("family").alias("word")))
     names = seen.filter("pool = 'name'").select("instance", F.explode(parts).alias("p")).select("instance", "p.part", "p.word").distinct()
     of = [F.coalesce(F.max(F.when(F.col("part") == p, F.col("share"))), F.lit(0.0)).alias(p) for p in ("given_lower", "family_lower")]
-    seen = seen.join(names.join(share, "word").groupBy("instance").agg(*of), "instance", "left").fillna(0.0, ["given_lower", "family_lower"])
+    seen = seen.join(apart(names.join(apart(share, "word"), "word").groupBy("instance").agg(*of), "instance"), "instance", "left").fillna(0.0, ["given_lower", "family_lower"])
     initial = F.concat_ws("", F.slice("left", 1, 2)).isin(".m", "m^") & (F.col("family_lower") >= COMMON)
     doubtful = (F.col("pool") == "name") & (F.col("seed") == "person") & ((F.col("given_lower") + F.col("family_lower") > 1) | initial)
     return durable(seen.withColumn("seed", F.when(~F.coalesce(doubtful, F.lit(False)), F.col("seed"))))

@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from glyphgrove.llm import components, hidden_duplicates, top_items
+from tests.skew import large
 
 
 def test_top_items(spark):
@@ -123,3 +124,36 @@ def test_chance_collisions_join_nothing(spark, monkeypatch):
 def test_no_records(spark):
     df = spark.createDataFrame([], RECORDS)
     assert hidden_duplicates.find_copies(df, "rec_id", FIELDS).count() == 0 and hidden_duplicates.collapse(df, "rec_id", FIELDS).count() == 0
+
+
+def test_hot_copies_are_split(spark):
+    rows = [(i, "hot", "x", None) for i in range(4000)] + [(4000 + i, f"a{i % 3000}", "y", None) for i in range(8000)]
+    df = spark.createDataFrame(rows, RECORDS)
+    with large(spark) as split:
+        got = {(r["kept_id"], r["rec_id"]) for r in hidden_duplicates.find_copies(df, "rec_id", FIELDS).collect()}
+        assert got == {(0, i) for i in range(1, 4000)} | {(4000 + i % 3000, 4000 + i) for i in range(3000, 8000)}
+        assert split() >= 2  # records with their fingerprints, records with the kept one
+
+
+def test_hot_values_and_hubs_are_split(spark):
+    """A third of all candidates has one tree, and all but these hang on one hub by trees of their own."""
+    rows = [(i, "q", "[hot]", f"[o{i}]", None) for i in range(4000)] + [(4000 + i, "q", f"[s{i % 2000}]", f"[p{i // 4}]", None) for i in range(8000)]
+    df = spark.createDataFrame(rows, CANDIDATES)
+    edges = [(0, i) for i in range(1, 4000)]
+    for key in (lambda i: ("s", i % 2000), lambda i: ("p", i // 4)):
+        by = collections.defaultdict(list)
+        for i in range(8000):
+            by[key(i)].append(4000 + i)
+        edges += [(v[0], x) for v in by.values() for x in v[1:]]
+    with large(spark) as split:
+        got = {(r["cand_id"], r["group_id"]) for r in components.group_by_shared_values(df, "cand_id", "query_id", ["slt_str", "opt_str"]).collect()}
+        assert got == set(brute_components(edges).items())
+        assert split() >= 1
+
+
+def test_hub_of_a_graph_is_split(spark):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 5000)] + [(5000 + 2 * i, 5001 + 2 * i) for i in range(5000)], "a bigint, b bigint")
+    with large(spark) as split:
+        got = {r["vertex"]: r["seed"] for r in components.components(edges).collect()}
+        assert got == {i: 0 for i in range(5000)} | {5000 + i: 5000 + i // 2 * 2 for i in range(10000)}
+        assert split() >= 1

@@ -30,28 +30,27 @@ def shared(a: list[Pair], b: list[Pair]) -> list[tuple[Pair, Pair]]:
     return [(waiting[p[:3]].popleft(), p) for p in b if waiting.get(p[:3])]
 
 
-def _instances(pairs: list[Pair]) -> dict[str, set[str]]:
-    """Places of each ancestor tag."""
-    out: dict[str, set[str]] = defaultdict(set)
-    for tag, _, _, place in pairs:
-        out[tag].add(place)
+def _instances(pairs: list[Pair]) -> dict[str, dict[str, Counter]]:
+    """For each ancestor tag the places where it stands, with the multiset of ways and terms below each."""
+    out: dict[str, dict[str, Counter]] = {}
+    for tag, term, way, place in pairs:
+        out.setdefault(tag, {}).setdefault(place, Counter())[term, way] += 1
     return out
 
 
 def restrict(q: list[Pair], c: list[Pair]) -> list[Pair]:
-    """Candidate pairs of no more instances of a tag than the query has; those that share most are kept."""
-    have, wanted = _instances(c), _instances(q)
-    out: list[Pair] = []
-    for tag in have.keys() & wanted.keys():
-        most = len(wanted[tag])
-        if len(have[tag]) <= most:
-            keep = have[tag]
-        else:
-            own = [p for p in q if p[0] == tag]
-            ranked = sorted(((len(shared(own, [p for p in c if p[0] == tag and p[3] == at])), at) for at in have[tag]), reverse=True)
-            keep = {at for _, at in ranked[:most]}
-        out += [p for p in c if p[0] == tag and p[3] in keep]
-    return out
+    """Candidate pairs of no more instances of a tag than the query has; those that share most are kept.
+
+    An instance shares what its multiset has in common with all of the query's pairs below that tag; of equals, the
+    later place is kept.
+    """
+    asked = _instances(q)
+    kept: set[tuple[str, str]] = set()
+    for tag, places in _instances(c).items():
+        wanted = sum(asked.get(tag, {}).values(), Counter())
+        by_gain = sorted(places, key=lambda at: ((places[at] & wanted).total(), at))
+        kept |= {(tag, at) for at in by_gain[len(by_gain) - min(len(by_gain), len(asked.get(tag, ()))) :]}
+    return [p for p in c if (p[0], p[3]) in kept]
 
 
 def unify(q: list[Pair], c: list[Pair]) -> tuple[list[Pair], list[Pair]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import statistics
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -59,26 +60,17 @@ def wildcard_spread(m: Match) -> float:
     return -statistics.stdev(sizes) if len(sizes) > 1 else 0.0
 
 
+def baseline_place(path: str, kind: int, most: int) -> list[float]:
+    """Where a path leaves the baselines of the first ``most`` depths: further right is lower, and so is a worse kind."""
+    runs = [len(run) for run in re.split("[^n]", path)[:most]]
+    return [-(4.0 * n + kind) for n in runs] + [0.0] * (most - len(runs))
+
+
 def leftmost(m: Match, depth: int, most: int = 4) -> float:
     """How far left on the baseline of that depth the match begins; exact places beat those of wildcards and unified ones."""
-    best: list[float] | None = None
-    for kind, pairs in enumerate((m.exact, m.wild_nodes, m.unified)):
-        for p in pairs:
-            place: list[float] = [0] * most
-            level = pos = 0
-            for label in p[2]:
-                if level == most:
-                    break
-                if label == "n":
-                    pos += 1
-                else:
-                    place[level] = -(pos * 4 + kind)
-                    pos, level = 0, level + 1
-            if level < most:
-                place[level] = -(pos * 4 + kind)
-            if best is None or best < place:
-                best = place
-    return NOWHERE if best is None else float(best[depth])
+    groups = enumerate((m.exact, m.wild_nodes, m.unified))
+    best = max((baseline_place(p[2], kind, most) for kind, pairs in groups for p in pairs), default=None)
+    return NOWHERE if best is None else best[depth]
 
 
 def aligned_pairs(m: Match, window: int, unified: bool) -> float:

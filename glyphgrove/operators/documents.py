@@ -23,14 +23,20 @@ def dispatch(documents: DataFrame, *, name: str = "doc_name") -> DataFrame:
 
 
 def scan_formulas(documents: DataFrame, *, ident: str = "doc_id", content: str = "content") -> DataFrame:
-    """``ident, position, formula``: formulas of each document, counted from 0. JVM only, no shuffle.
+    """``ident, position, formula``: formulas of each document, counted from 0. No shuffle; only texts with ``math`` in them
+    leave the JVM.
 
     LaTeX formulas of elements of their own class come as ``$...$``. Null contents and contents without formulas give no rows.
     """
-    found = F.regexp_extract_all(F.col(content), F.lit(r"(?s)(<(?:[^>\s:/]*:)?math(?:\s[^>]*)?>.*?</(?:[^>\s:]*:)?math>|<[^/<>]+class=\"math-container\".*?>.*?</.*?>)"), F.lit(1))
-    latex = lambda x: F.concat(F.lit("$"), F.regexp_extract(x, r"(?s)(?<!\\)\$+(.{1,200}?)(?<!\\)\$+", 1), F.lit("$"))
-    plain = F.transform(found, lambda x: F.when(x.endswith("math>"), x).otherwise(latex(x)))
-    return documents.select(ident, F.posexplode(plain).alias("position", "formula"))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(i, p, f) for i, t in zip(batch[ident], batch[content], strict=True) for p, f in enumerate(markup.formulas(t))]
+            yield pd.DataFrame(rows, columns=[ident, "position", "formula"])
+
+    kind = documents.schema[ident].dataType.simpleString()
+    likely = documents.select(ident, content).filter(F.contains(content, F.lit("math")))
+    return likely.mapInPandas(scan, f"{ident} {kind}, position int, formula string")
 
 
 def scan_elements(documents: DataFrame, tag: str, *, ident: str = "doc_id", content: str = "content") -> DataFrame:

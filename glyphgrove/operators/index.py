@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphgrove.operators import tuples
@@ -28,15 +28,21 @@ class Index:
     eob: str
 
 
+def packed_id(doc: Column, position: Column) -> Column:
+    """One number for document and position, in their order; raises an error where they don't fit."""
+    fits = doc.between(0, (1 << 40) - 1) & position.between(0, (1 << 22) - 1)
+    return F.when(fits, F.shiftleft(doc, 22) + position).when(doc.isNotNull() & position.isNotNull(), F.raise_error(F.lit("document or position out of range")).cast("bigint"))
+
+
 def build(occ: DataFrame, *, doc: str = "doc_id", position: str = "position", expr: str = "expr", window: int = tuples.WINDOW, eob: str = "small", keep: bool = True) -> Index:
     """Index of a table of occurrences.
 
     Expressions are made distinct before they are expanded, in one shuffle; each expression's tuples are counted
     inside its row, so the postings need none. ``expr_id`` is the order of first occurrence packed into one number
     (document, then position), which makes ties of searches reproducible: documents have ids from 0 below 2^40,
-    positions below 2^22. Null expressions and strings that are no trees are left out.
+    positions below 2^22, others raise an error. Null expressions and strings that are no trees are left out.
     """
-    ident = F.shiftleft(F.col(doc).cast("bigint"), 22) + F.col(position)
+    ident = packed_id(F.col(doc).cast("bigint"), F.col(position).cast("bigint"))
     rows = occ.filter(F.col(expr).isNotNull()).select(F.col(doc).alias("doc_id"), F.col(position).cast("int").alias("position"), F.col(expr).alias("expr"), ident.alias("_at"))
     first = rows.groupBy("expr").agg(F.min("_at").alias("expr_id"))
     counted = first.select("expr_id", "expr", tuples.tuple_counts(F.col("expr"), window, eob).alias("tuples")).filter("tuples IS NOT NULL")
@@ -49,9 +55,13 @@ def build(occ: DataFrame, *, doc: str = "doc_id", position: str = "position", ex
 
 
 def write(index: Index, path: str, *, buckets: int = 256) -> None:
-    """Store an index as Parquet; postings are spread by term and ordered by ``tc`` for row-group skipping."""
+    """Store an index as Parquet; postings lie in ranges of tuples and sizes, so row groups can be skipped by both.
+
+    Ranges follow the number of postings: a tuple that a third of all expressions has lies in a third of the files.
+    """
     index.expressions.write.mode("overwrite").parquet(f"{path}/expressions")
-    index.postings.repartition(buckets, "from", "to", "rel").sortWithinPartitions("from", "to", "rel", "tc").write.mode("overwrite").parquet(f"{path}/postings")
+    order = ("from", "to", "rel", "tc", "expr_id")
+    index.postings.repartitionByRange(buckets, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/postings")
     index.occurrences.write.mode("overwrite").parquet(f"{path}/occurrences")
     spark = index.postings.sparkSession
     spark.createDataFrame([(index.window, index.eob)], "window int, eob string").coalesce(1).write.mode("overwrite").json(f"{path}/settings")

@@ -9,9 +9,9 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-#: A formula in markup, or a LaTeX formula in an element of its own class.
-FORMULA = re.compile(r"<(?:[^>\s:/]*:)?math(?:\s[^>]*)?>.*?</(?:[^>\s:]*:)?math>|<[^/<>]+class=\"math-container\".*?>.*?</.*?>", re.DOTALL)
-_LATEX = re.compile(r"(?<!\\)\$+(.{1,200}?)(?<!\\)\$+", re.DOTALL)
+#: Fixed value: the class of elements whose content is LaTeX between dollar signs.
+LATEX_CLASS = "math-container"
+_DOLLARS = re.compile(r"(?<!\\)\$+")
 
 
 class Element:
@@ -79,16 +79,41 @@ def read(text: str) -> Element:
 
 
 def formulas(text: str | None) -> list[str]:
-    """Formulas of a document in order; LaTeX ones as ``$...$``."""
-    out = []
-    for token in FORMULA.findall(text or ""):
-        if token.endswith("math>"):
-            out.append(token)
-        elif m := _LATEX.search(token):
-            out.append(f"${m[1].strip('$')}$")
+    """Formulas of a document in order, of any length; LaTeX ones as ``$...$``.
+
+    A formula in markup goes from a ``math`` tag, whatever its prefix, to the next end tag of that name. A LaTeX formula is
+    the first one between unescaped dollar signs in an element of the class for it, up to that element's first end tag.
+    """
+    out: list[str] = []
+    text = text or ""
+    at = text.find("<")
+    while at >= 0 and (end := text.find(">", at)) >= 0:
+        name, _, attributes = text[at + 1 : end].partition(" ")
+        name = name.split(maxsplit=1)[0] if name.strip() else ""
+        after = None
+        if name.rpartition(":")[2] == "math" and not text[at + 1 : end].endswith("/"):
+            after = _end_of(text, end + 1, "math")
+            if after is not None:
+                out.append(text[at:after])
+        elif f'class="{LATEX_CLASS}"' in attributes and not name.startswith("/"):
+            stop = text.find("</", end)
+            inner = _DOLLARS.split(text[end + 1 : stop]) if stop >= 0 else []
+            if len(inner) > 2 and inner[1]:
+                out.append(f"${inner[1]}$")
+            after = stop if stop >= 0 else None
+        at = text.find("<", end if after is None else after)
     return out
 
 
+def _end_of(text: str, at: int, tag: str) -> int | None:
+    """Place after the next end tag of a name, whatever its prefix; null if there is none."""
+    while (at := text.find("</", at)) >= 0 and (end := text.find(">", at)) >= 0:
+        if text[at + 2 : end].rpartition(":")[2].strip() == tag:
+            return end + 1
+        at = end
+    return None
+
+
 def isolate(formula: str, *, content: bool) -> Element:
     """The ``math`` element with only its content or only its presentation part."""
     math = read(formula).find("math")

@@ -72,8 +72,8 @@ def read_formula_table(spark: SparkSession, path: str, *, ident: int = 0, formul
 
 
 def read_control(spark: SparkSession, path: str) -> dict[str, str]:
-    """Key and value of each line of a control file (a few lines)."""
-    lines = spark.read.text(path).select(F.split("value", "\t", 2).alias("p")).filter("size(p) = 2").limit(10_000).collect()
+    """Key and value of each line of a control file, a configuration of a few keys; all its lines are read."""
+    lines = spark.read.text(path).select(F.split("value", "\t", 2).alias("p")).filter("size(p) = 2").collect()
     return {r["p"][0]: r["p"][1] for r in lines}
 
 

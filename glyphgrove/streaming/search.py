@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from glyphgrove.operators import retrieve, tuples
-from glyphgrove.operators.index import Index
+from glyphgrove.operators.index import Index, packed_id
 
 
 def answer_queries(stream: DataFrame, index: Index, sink: Callable[[DataFrame, int], None], k: int = 3, *, wildcards: bool = False, checkpoint: str, **trigger) -> StreamingQuery:
@@ -39,7 +39,7 @@ def append_postings(stream: DataFrame, path: str, *, window: int = tuples.WINDOW
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        ident = F.shiftleft(F.col("doc_id").cast("bigint"), 22) + F.col("position")
+        ident = packed_id(F.col("doc_id").cast("bigint"), F.col("position").cast("bigint"))
         first = df.filter("expr IS NOT NULL").groupBy("expr").agg(F.min(ident).alias("expr_id"))
         counted = first.select("expr_id", "expr", tuples.tuple_counts(F.col("expr"), window, eob).alias("tuples")).filter("tuples IS NOT NULL")
         counted.write.mode("overwrite").parquet(f"{path}/batch={number}")

@@ -39,19 +39,31 @@ def _fields(parts: Column) -> Column:
     return F.transform(F.split(whole, "\t"), lambda f: F.replace(F.replace(f, F.lit("\x01b"), F.lit("\t")), F.lit("\x01a"), F.lit("\x01")))
 
 
+#: Levels of brackets taken off by replacement; deeper expressions are counted sign by sign.
+_LEVELS = 12
+
+
 def _balanced(expr: Column) -> Column:
-    """Begins with a bracket; brackets balance and close for the last time at the end, not before."""
-    signs = F.split(F.regexp_replace(expr, r"[^\[\]]", ""), "")
+    """Begins with a bracket; brackets balance and close for the last time at the end, not before.
+
+    The first and the last bracket belong together if what is between them balances by itself. Inmost pairs are taken off
+    level by level; what is left after that and still has an inmost pair is deeper, and is counted through.
+    """
+    signs = F.regexp_replace(expr, r"[^\[\]]+", "")
+    inner = F.substring(signs, F.lit(2), F.length(signs) - 2)
+    for _ in range(_LEVELS):
+        inner = F.replace(inner, F.lit("[]"), F.lit(""))
+    return expr.startswith("[") & expr.endswith("]") & (F.length(expr) > 1) & F.get(F.transform(F.array(inner), lambda x: (x == "") | (F.contains(x, F.lit("[]")) & _counts(x))), F.lit(0))
+
+
+def _counts(signs: Column) -> Column:
+    """Whether a string of brackets balances, sign by sign."""
     depth = F.aggregate(
-        signs,
-        F.struct(F.lit(0).alias("d"), F.lit(True).alias("ok"), F.lit(0).alias("zeros")),
-        lambda a, s: F.struct(
-            (a["d"] + F.when(s == "[", 1).when(s == "]", -1).otherwise(0)).cast("int").alias("d"),
-            (a["ok"] & ~((a["d"] <= 0) & (s == "]"))).alias("ok"),
-            (a["zeros"] + F.when((a["d"] == 1) & (s == "]"), 1).otherwise(0)).cast("int").alias("zeros"),
-        ),
+        F.split(signs, ""),
+        F.lit(0),
+        lambda d, s: F.when(d < 0, d).otherwise(d + F.when(s == "[", 1).when(s == "]", -1).otherwise(0)).cast("int"),
     )
-    return expr.startswith("[") & expr.endswith("]") & (depth["d"] == 0) & depth["ok"] & (depth["zeros"] == 1)
+    return depth == 0
 
 
 def _list_items(text: Column) -> Column:
@@ -64,18 +76,26 @@ def _score_ok(text: Column) -> Column:
     return text.rlike(_SCORE) & (F.trim(text).try_cast("double") <= 1.0)
 
 
+def _tagged(text: Column, tag: str) -> Column:
+    return text.isin(tag, f'"{tag}"') | text.startswith(f"{tag}\t") | text.startswith(f'"{tag}"\t')
+
+
 def parse_lines(lines: DataFrame, *, line: str = "line") -> DataFrame:
-    """Adds ``_tag`` (null: not judged), ``_quotes``, ``_fields`` to the rows of ``lines``."""
-    text = F.regexp_replace(F.col(line), r"\r\z", "")
+    """Adds ``_tag`` (null: not judged), ``_quotes``, ``_fields`` to the rows of ``lines``.
+
+    ``_fields`` comes out of a generator of one row, so that conditions on fields read it and don't split the line anew.
+    """
+    raw = F.col(line)
+    text = F.when(raw.endswith("\r"), F.left(raw, F.length(raw) - 1)).otherwise(raw)
     parts = F.split(F.concat(F.lit("\t"), F.col("_text"), F.lit("\t")), '"')
-    return (
+    fields = F.when(F.col("_plain"), F.split("_text", "\t")).when(F.col("_quotes"), _fields(parts))
+    marked = (
         lines.withColumn("_text", text)
-        .withColumn("_tag", F.regexp_extract("_text", r'\A("?)([ER])\1(?:\t|\z)', 2))
-        .withColumn("_tag", F.when(F.col("_tag") != "", F.col("_tag")))
-        .withColumn("_plain", F.instr("_text", '"') == 0)
+        .withColumn("_tag", F.when(_tagged(F.col("_text"), "E"), "E").when(_tagged(F.col("_text"), "R"), "R"))
+        .withColumn("_plain", ~F.contains("_text", F.lit('"')))
         .withColumn("_quotes", F.col("_plain") | _quotes_ok(parts))
-        .withColumn("_fields", F.when(F.col("_plain"), F.split("_text", "\t")).when(F.col("_quotes"), _fields(parts)))
     )
+    return marked.select("*", F.explode(F.array(fields)).alias("_fields"))
 
 
 def _conforms() -> tuple[Column, Column]:
@@ -100,7 +120,7 @@ def strict_load(lines: DataFrame, *, line: str = "line", ident: str = "line_id")
     """
     columns, values = _conforms()
     f = F.col("_fields")
-    good = parse_lines(lines.select(ident, line), line=line).filter(F.col("_tag").isNotNull() & F.col("_quotes") & columns & values)
+    good = parse_lines(lines.select(ident, line), line=line).filter(F.col("_tag").isNotNull() & F.col("_quotes")).filter(columns & values)
     e = F.col("_tag") == "E"
     number = lambda c: F.trim(c).try_cast("bigint")
     scores = F.coalesce(_list_items(F.get(f, F.lit(4))), F.array(F.get(f, F.lit(4))))
@@ -121,7 +141,7 @@ def rejected(lines: DataFrame, *, line: str = "line", ident: str = "line_id") ->
     Reasons, the first that applies: ``quoting``, ``columns``, ``value``. The lines are those whose offset is
     left after the loaded offsets are taken away; ``ident`` must be unique.
     """
-    judged = lines.select(ident, line).filter(F.col(line).rlike(r'\A"?[ER]'))
+    judged = lines.select(ident, line).filter(F.left(line, F.lit(2)).isin("E", "R", "E\t", "R\t", "E\r", "R\r", '"E', '"R'))
     left = judged.join(strict_load(lines, line=line, ident=ident).select(ident), ident, "left_anti")
     columns, _ = _conforms()
     return (

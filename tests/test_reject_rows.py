@@ -131,3 +131,13 @@ def test_whole_table(spark, data):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "line_id bigint, line string")
     assert reject_rows.rejected(df).count() == 0 and reject_rows.strict_load(df).count() == 0
+
+
+@pytest.mark.parametrize("depth", [1, 2, 12, 13, 14, 40])
+def test_deep_expressions(spark, depth):
+    good = "[" * depth + "x" + "]" * depth
+    bad = [good[:-1], good + "]", good + good, "[" + good + "]]" + good, "[]" * depth + "[", good.replace("x", "][")]
+    rows = [(0, f"E\t{good}\t[1]")] + [(i + 1, f"E\t{b}\t[1]") for i, b in enumerate(bad)]
+    df = spark.createDataFrame(rows, "line_id bigint, line string")
+    assert {r["line_id"] for r in reject_rows.strict_load(df).collect()} == {0}
+    assert {tuple(r) for r in reject_rows.rejected(df).collect()} == {(i + 1, "value") for i in range(len(bad))}

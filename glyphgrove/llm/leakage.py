@@ -4,7 +4,7 @@ The index holds a posting (document, position, term) for each training token who
 evaluation item; other tokens can't be part of a match. Every run of ``least`` words of an item is looked up from
 its rarest term on: the term's postings, moved by the term's offset in the run, are the places where the run may
 begin; these are intersected with the moved postings of the next rarer terms, and the few places left are
-compared with the whole run.
+compared with the whole run, for which only the postings of their documents are read again.
 """
 
 from __future__ import annotations
@@ -76,22 +76,31 @@ class LeakIndex:
         ranked = F.sort_array(F.collect_list(F.struct("df", (F.col("at") - F.col("start")).alias("offset"), "term"))).alias("ranked")
         return starts.groupBy("item", "start").agg(ranked).filter(F.size("ranked") == least)
 
+    def _held(self, asked: DataFrame, wanted: DataFrame) -> DataFrame:
+        """Rows of ``asked`` whose (doc, pos, term) the index holds; of the postings only those that ``wanted`` has are shuffled."""
+        some = self.postings.join(wanted, wanted.columns, "left_semi")
+        return asked.join(some, ["doc", "pos", "term"], "left_semi")
+
     def phrases(self, least: int, steps: int = 3) -> DataFrame:
-        """``doc, item`` of documents that contain ``least`` consecutive words of the item's text."""
+        """``doc, item`` of documents that contain ``least`` consecutive words of the item's text.
+
+        The lists of a run's ``steps`` rarest terms are intersected one after the other, of which only postings of such terms
+        are shuffled; the rest of the run is looked up in the documents that are left.
+        """
         runs = durable(self.runs(least))
-        rarest = runs.select("item", "start", "ranked", F.col("ranked")[0]["term"].alias("term"), F.col("ranked")[0]["offset"].alias("offset"))
-        slim = rarest.select("item", "start", "term", "offset")
-        places = self.postings.join(self._side(slim), "term").select("item", "start", "doc", (F.col("pos") - F.col("offset")).alias("begin")).filter("begin >= 0")
-        for step in range(1, min(steps, least)):
-            wanted = runs.select("item", "start", F.col("ranked")[step]["term"].alias("term"), F.col("ranked")[step]["offset"].alias("offset"))
-            asked = places.join(self._side(wanted), ["item", "start"]).withColumn("pos", F.col("begin") + F.col("offset"))
-            places = asked.join(self.postings, ["doc", "pos", "term"], "left_semi").select("item", "start", "doc", "begin")
+        steps = min(steps, least)
+        at = lambda step: runs.select("item", "start", F.col("ranked")[step]["term"].alias("term"), F.col("ranked")[step]["offset"].alias("offset"))
+        places = self.postings.join(self._side(at(0)), "term").select("item", "start", "doc", (F.col("pos") - F.col("offset")).alias("begin")).filter("begin >= 0")
+        for step in range(1, steps):
+            asked = places.join(self._side(at(step)), ["item", "start"]).withColumn("pos", F.col("begin") + F.col("offset"))
+            places = self._held(asked, self._side(at(step).select("term").distinct())).select("item", "start", "doc", "begin")
         places = durable(places)
-        rest = runs.select("item", "start", F.explode(F.slice("ranked", steps + 1, least)).alias("r")) if least > steps else None
-        if rest is not None:
+        if least > steps:
+            rest = runs.select("item", "start", F.explode(F.slice("ranked", steps + 1, least)).alias("r"))
             rest = rest.select("item", "start", F.col("r.term").alias("term"), F.col("r.offset").alias("offset"))
             asked = places.join(self._side(rest), ["item", "start"]).withColumn("pos", F.col("begin") + F.col("offset"))
-            met = asked.join(self.postings, ["doc", "pos", "term"], "left_semi")
+            docs = durable(places.select("doc").distinct())
+            met = self._held(asked, F.broadcast(docs) if docs.count() <= BROADCAST_ROWS else docs)
             places = met.groupBy("item", "start", "doc", "begin").agg(F.count("*").alias("n")).filter(F.col("n") == least - steps)
         return places.select("doc", "item").distinct()
 

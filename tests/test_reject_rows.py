@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from glyphgrove.operators import reject_rows
 
 NUMBER = r" *[0-9]{1,18} *"

@@ -138,7 +138,7 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("depth", [1, 2, 12, 13, 14, 40])
 def test_deep_expressions(spark, depth):
     good = "[" * depth + "x" + "]" * depth
-    bad = [good[:-1], good + "]", good + good, "[" + good + "]]" + good, "[]" * depth + "[", good.replace("x", "][")]
+    bad = [good[:-1], good + "]", good + good, "[" + good + "]]" + good, "[]" * depth + "[", good.replace("x", "]" * depth + "[" * depth)]
     rows = [(0, f"E\t{good}\t[1]")] + [(i + 1, f"E\t{b}\t[1]") for i, b in enumerate(bad)]
     df = spark.createDataFrame(rows, "line_id bigint, line string")
     assert {r["line_id"] for r in reject_rows.strict_load(df).collect()} == {0}

@@ -1,12 +1,15 @@
 """Personal information in free text by bootstrapped contextual extraction.
 
 1. Candidates: spans that look like an e-mail address, a number, a postal address or a name, with the words
-   around them (:mod:`glyphgrove.llm.personal_shapes`). Those with a telling label or an unmistakable form are
-   seeds, for a kind or against all.
+   around them (:mod:`glyphgrove.llm.personal_shapes`). Few of them are seeds, for a kind or against all: those right
+   after one of a few words for each kind, streets of five kinds and plain mail addresses with two endings.
 2. A bipartite graph of instances and patterns (words to the left, words to the right, form, given name, family
    name). Each round a pattern's confidence for a kind is the share of its labelled instances that have that
-   kind, with unlabelled ones counting against it; then instances that meet confident patterns get their kind.
-3. After a few rounds, instances with a kind are joined back to their documents.
+   kind, with unlabelled ones counting against it; then instances that meet confident patterns get their kind and
+   keep it; what speaks against all kinds is judged anew. Patterns of context and of form take turns: a seed's context has instances of other forms, these stand in
+   other contexts, and so on.
+3. When a round labels nothing new, instances with a kind are joined back to their documents. Every kind is decided by
+   the graph alone; a form or a label by itself puts nothing into the result, but for the seeds.
 
 Instances are distinct (pool, text, surroundings): copies of a text count once, however many there are, and are
 merged by a combinable aggregate before any shuffle by pattern. Patterns are aggregated map-side; a pattern as
@@ -29,9 +32,11 @@ from glyphgrove.runtime import apart, durable, spread
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 
-#: Rounds of the graph, least confidence of a pattern that labels an instance, weight of unlabelled instances
-#: in a pattern's confidence, and distinct labelled instances that a pattern needs.
-ROUNDS, CONFIDENT, UNKNOWN_WEIGHT, SUPPORT = 4, 0.6, 0.25, 4
+#: Least confidence of a pattern that labels an instance, and of a form that does so for numbers; distinct labelled
+#: instances that a pattern needs, in general and for names, whose words are common.
+CONFIDENT, SURE_FORM, SUPPORT, NAME_SUPPORT = 0.6, 0.65, 2, 4
+#: Weight of unlabelled instances in a pattern's confidence, by pool: unlabelled numbers and names are mostly none.
+UNKNOWN_WEIGHT = {"mail": 0.05, "address": 0.05, "number": 0.05, "name": 0.25}
 #: What a pattern of two words counts beside one of three, which knows more of the place.
 SHORT_PATTERN = 0.8
 #: Share of lower-case among a word's uses from which a name with it is taken for none, as long as nothing speaks for it.
@@ -76,7 +81,7 @@ def _patterns() -> Column:
     return F.concat(F.filter(name, lambda x: ~x["value"].endswith("|")), F.filter(context, told))
 
 
-def bootstrap(candidates: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
+def bootstrap(candidates: DataFrame) -> DataFrame:
     """``instance, label`` of every candidate instance; null where nothing speaks for a kind or against all.
 
     ``more_given`` and ``more_family`` tell that a pair of names begins with a given name, or ends with a family name,
@@ -84,6 +89,7 @@ def bootstrap(candidates: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
 
     ``candidates`` needs the columns of :func:`candidates_of`, of which ``instance`` settles all but the seed; where
     occurrences of an instance have different seeds, the first in alphabetical order holds, whatever order rows come in.
+    Rounds end when one gives no instance a kind; as kinds are kept, that comes about at last.
     A name with a common word counts as none as long as nothing speaks for it; that says what its surroundings are
     worth, but nothing of its words, which also stand in names.
     """
@@ -96,23 +102,29 @@ def bootstrap(candidates: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
     pair = (F.col("pool") == "name") & (F.col("look") != "reversed") & (F.coalesce("seed", F.lit("person")) == "person")
     more = {f"more_{n}": pair & (F.coalesce(n, F.lit(0.0)) >= least) & (F.col(f"{n}_lower") < COMMON) for n, least in (("given", 0.6), ("family", 0.3))}
     counts = F.col("sure") | F.col("role").startswith("c_")
-    for _ in range(rounds):
+    unlabelled = F.substring_index("value", "|", 1)
+    unlabelled = F.coalesce(*[F.when(unlabelled == k, F.lit(v)) for k, v in UNKNOWN_WEIGHT.items()])
+    grown = True
+    while grown:
         count = [F.sum(((F.col("label") == k) & counts).cast("int")).alias(k) for k in classes]
         weights = edges.join(labels, "instance").groupBy("role", "value").agg(F.count("*").alias("n"), *[F.coalesce(c, F.lit(0)).alias(k) for c, k in zip(count, classes, strict=True)])
         known = sum((F.col(k) for k in classes), F.lit(0))
-        weights = weights.filter(known > 0).select("role", "value", "n", known.alias("known"), *[(F.col(k) / (known + UNKNOWN_WEIGHT * (F.col("n") - known) + 1)).alias(k) for k in classes])
+        weights = weights.filter(known > 0).select("role", "value", "n", known.alias("known"), *[(F.col(k) / (known + unlabelled * (F.col("n") - known) + 1)).alias(k) for k in classes])
         met = edges.join(apart(weights, "role", "value"), ["role", "value"])
-        context = F.col("role").startswith("c_") & (F.col("known") >= SUPPORT)
+        context = F.col("role").startswith("c_") & (F.col("known") >= F.when(F.startswith("value", F.lit("name|")), NAME_SUPPORT).otherwise(SUPPORT))
         weight = F.when(F.col("role").isin("c_left2", "c_right2"), SHORT_PATTERN).otherwise(1.0)
         scored = met.groupBy("instance").agg(
             *[F.max(F.when(context, F.col(k) * weight)).alias(f"context_{k}") for k in classes],
             *[F.max(F.when(F.col("role") == "form", F.col(k))).alias(f"form_{k}") for k in classes],
             *[F.max(F.when(F.col("role") == r, F.col("person"))).alias(r) for r in ("given", "family")],
-            F.max(F.when((F.col("role") == "ending") & (F.col("known") >= SUPPORT), F.col("person"))).alias("ending"),
+            F.max(F.when((F.col("role") == "ending") & (F.col("known") >= NAME_SUPPORT), F.col("person"))).alias("ending"),
         )
         state = content.select("instance", "pool", "seed", "prior", "given_lower", "family_lower", F.col("form").alias("look"), F.col("given").alias("given_name")).join(scored, "instance", "left")
-        settled = state.select("instance", "prior", F.coalesce("seed", _decide()).alias("told"), *[c.alias(n) for n, c in more.items()])
-        labels = durable(settled.select("instance", F.coalesce("told", "prior").alias("label"), F.col("told").isNotNull().alias("sure"), *more))
+        before = labels.select("instance", F.when(F.col("sure") & (F.col("label") != "none"), F.col("label")).alias("kept"))
+        settled = state.join(before, "instance").select("instance", "prior", "kept", F.coalesce("kept", _decide()).alias("told"), *[c.alias(n) for n, c in more.items()])
+        new = (F.col("kept").isNull() & F.coalesce(F.col("told") != "none", F.lit(False))).alias("new")
+        labels = durable(settled.select("instance", F.coalesce("told", "prior").alias("label"), F.col("told").isNotNull().alias("sure"), new, *more))
+        grown = not labels.filter("new").isEmpty()
     return labels.select("instance", "label", *more)
 
 
@@ -125,9 +137,12 @@ def _decide() -> Column:
     c = lambda name: F.coalesce(name, F.lit(0.0))
     against = c("context_none") >= CONFIDENT
     context = lambda k: (c(f"context_{k}") >= CONFIDENT) & (c(f"context_{k}") > c("context_none"))
+    shape = lambda k: (c(f"form_{k}") >= SURE_FORM) & ~F.startswith("look", F.lit("short ")) & ~against
+    few = F.length(F.regexp_replace("look", "[^0]", "")) <= 15
     number = (
-        F.when(context("id_number") & (c("context_id_number") >= c("context_phone")) & (c("form_phone") < CONFIDENT), "id_number")
-        .when((F.length(F.regexp_replace("look", "[^0]", "")) <= 15) & (context("phone") | ((c("form_phone") >= CONFIDENT) & ~against)) & (c("form_id_number") < CONFIDENT), "phone")
+        F.when(few & context("id_number") & (c("context_id_number") >= c("context_phone")) & (c("form_phone") < CONFIDENT), "id_number")
+        .when(few & ~F.contains("look", F.lit("a")) & (context("phone") | shape("phone")) & (c("form_id_number") < CONFIDENT), "phone")
+        .when(few & shape("id_number") & ~context("phone"), "id_number")
         .when(against, "none")
     )
     initial = F.col("given_name").rlike(r"\A(\w\.[ -]?)+\z")
@@ -145,7 +160,8 @@ def _decide() -> Column:
     sure = (c("given") >= 0.6) & (c("family") >= 0.3)
     person = F.when(sure, "person").when(against & (c("context_none") >= c("context_person")), "none").when(names, "person")
     address = F.when(((c("form_address") >= CONFIDENT) & ~F.startswith("look", F.lit("open "))) | context("address"), "address")
-    return F.when(F.col("pool") == "number", number).when(F.col("pool") == "name", person).when(F.col("pool") == "address", address)
+    mail = F.when((c("form_email") >= CONFIDENT) | context("email"), "email")
+    return F.when(F.col("pool") == "mail", mail).when(F.col("pool") == "number", number).when(F.col("pool") == "name", person).when(F.col("pool") == "address", address)
 
 
 def _instance() -> Column:

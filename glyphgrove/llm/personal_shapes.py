@@ -1,7 +1,7 @@
 """Candidates for personal information in one text: spans by outward form, with their surroundings.
 
 Forms are wide on purpose; whether a candidate is personal information is decided over the whole corpus, see
-:mod:`glyphgrove.llm.personal`. Labels that stand right before a candidate make it a seed.
+:mod:`glyphgrove.llm.personal`.
 """
 
 from __future__ import annotations
@@ -13,20 +13,15 @@ _CAP = r"[A-ZÀ-ÖØ-ÞĀ-Ž]"
 _NAME = rf"{_CAP}[\w'’­\-]*\w"
 
 # Fixed values ------------------------------------------------------------------------------------------------
-#: Words that stand before a number of that kind, in several languages.
-PHONE_LABELS = r"phone|telephone|tel\.?|tél\.?|téléphone|teléfono|telefon|mobile|mobil|handy|hotline|fax|call me on|call|text|rufen sie mich unter|appelez le|llamen al"
-ID_LABELS = (
-    r"id|identity (?:card )?(?:no\.?|number)|passport (?:no\.?|number)|passport|tax id|tax number|social security (?:no\.?|number)(?: is)?|(?:national )?insurance (?:no\.?|number)(?: is)?"
-    r"|\w*ausweis\w*|\w*versicherungsnummer|\w*steuernummer|steuer-id|(?:numéro|n°) de passeport|passeport(?: n°)?|carte d['’]identité(?: n°)?|numéro de sécurité sociale"
-    r"|dni(?: es)?|nie(?: es)?|nif(?: es)?|número de identidad|pasaporte|codice fiscale|ssn"
-)
-OTHER_LABELS = (
-    r"order(?: no\.?| number)?|part|spare part|batch|lot|coupon|voucher|ticket|invoice|article|art\.?|item|model|serial(?: no\.?)?|sn|isbn|issn|ean|upc|sku|tracking|parcel|firmware|version|bestellnummer|bestellung"
-    r"|rechnung|artikel(?:nummer)?|gutschein|charge|commande|facture|pedido|factura|lote|page|seite"
-)
-INTRODUCTIONS = (
-    r"my name is|i am called|signed:?|signed by|regards,|sincerely,|yours,|je m['’]appelle|mon nom est|cordialement,|me llamo|mi nombre es|firmado:?|saludos,|mein name ist|ich heiße|gez\.|viele grüße,|mit freundlichen grüßen,"
-)
+#: Seeds: a few words for each kind that stand among the three tokens before it; kinds of streets and endings of mail
+#: addresses. All other words, labels, kinds and endings are learned from the corpus.
+PHONE_SEEDS = frozenset(("phone", "tel", "tél", "call", "llamen"))
+ID_SEEDS = frozenset(("id", "passport", "passeport", "sozialversicherungsnummer", "dni", "fiscale"))
+NONE_SEEDS = frozenset(("order", "invoice", "ticket", "isbn", "part", "model", "coupon", "batch"))
+PERSON_SEEDS = frozenset(("mr", "mrs", "dr", "herr", "frau", "mme", "señora", "signed"))
+STREET_SEEDS = frozenset(("street", "rue", "calle", "strasse", "weg"))
+MAIL_SEEDS = ("com", "org")
+#: Titles, which stand before a name and aren't part of it.
 TITLES = r"mr|mrs|ms|miss|dr|prof|herr|herrn|frau|m|mme|mlle|monsieur|madame|sr|sra|señor|señora|don|doña|sir|mx"
 #: Kinds of streets; before the name, after it, or as the end of a compound.
 STREET_AFTER = r"street|st|road|rd|lane|ln|avenue|ave|court|ct|terrace|close|drive|dr|way|place|pl|square|sq|crescent|gardens|grove|hill|row|mews|walk|boulevard|blvd|parkway|alley|park|green|rise|view"
@@ -77,8 +72,12 @@ ID = re.compile(
 
 #: Any run of digits or of mixed letters and digits, in pieces that each have a digit.
 RUN = re.compile(r"(?<![\w/.@+\-])\+?[A-Za-z]*\d[A-Za-z0-9]*(?:[ .\-/][A-Za-z]*\d[A-Za-z0-9]*)*(?!\w)(?![.\-/]\d)")
-#: Letters and digits of a run from which it is a candidate, and from which one with a telling label is.
-RUN_LEAST, TOLD_LEAST = 6, 4
+#: Letters and digits from which a run is a candidate: after a seed word, where it is no seed yet and its form never
+#: speaks for a kind, and anywhere.
+SHORT_LEAST, RUN_LEAST = 4, 6
+
+_AT_WORD = re.compile(r"[(\[{]\s?at\s?[)\]}]|\sat\s\S+\sdot\s", re.IGNORECASE)
+_DIGIT, _THREE_DIGITS = re.compile(r"\d"), re.compile(r"\d[^\d]*\d[^\d]*\d")
 
 _INITIALS = rf"(?:{_CAP}\.[ -]?)+"
 _PARTICLE = rf"(?:(?i:{PARTICLES}) ){{0,3}}"
@@ -90,8 +89,6 @@ REVERSED = re.compile(rf"(?<![\w'’.\-@/&])(?=(?P<a>(?P<n>{_PARTICLE}{_NAME}),
 
 _TOKEN = re.compile(r"\w+(?:['’]\w+)?|[^\w\s]")
 _SPACE = re.compile(r"\s+")
-_ENDS = {k: re.compile(rf"(?:^|[^\w])(?:{v})(?:\s(?:no\.?|number|nr\.?|n[°º]))?[\s:(.<#]*$", re.IGNORECASE) for k, v in {"phone": PHONE_LABELS, "id_number": ID_LABELS, "none": OTHER_LABELS}.items()}
-_TITLE_END = re.compile(rf"(?:^|[^\w])(?:(?:{TITLES})\.?|{INTRODUCTIONS})\s+$", re.IGNORECASE)
 _TITLE = re.compile(rf"(?:{TITLES})\.?", re.IGNORECASE)
 _SIR = re.compile(rf"M\. ?(?={_CAP}\.)")
 _STREET_NEXT = re.compile(rf"\s+(?:{STREET_AFTER})\b", re.IGNORECASE)
@@ -136,15 +133,32 @@ def _around(text: str, a: int, b: int) -> tuple[list[str], list[str]]:
     return [*left, "^", "^", "^"][:3], [*right, "$", "$", "$"][:3]
 
 
-def _shape(s: str) -> str:
-    return re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "0", s))
+def _sign(mail: str) -> str:
+    """How an address writes its at sign."""
+    return "@" if "@" in mail or "＠" in mail else "bracket" if mail[-1].isalnum() and any(c in mail for c in "([{") else "word"
 
 
-def _label(before: str) -> str | None:
-    for kind in ("none", "id_number", "phone"):
-        if _ENDS[kind].search(before):
-            return kind
-    return None
+def _seed(pool: str, found: str, left: list[str], form: str) -> str | None:
+    """Kind of a candidate that is a seed, or null. A name has its seed word right before, with a stop at most between."""
+    if pool == "mail":
+        return "email" if form == "@" and found.casefold().endswith(MAIL_SEEDS) else None
+    if pool == "address":
+        return "address" if form in STREET_SEEDS else None
+    if pool == "name":
+        near = left[1] if left[0] == "." else left[0]
+        return "person" if near in PERSON_SEEDS and form == "" else None
+    if form.startswith("short "):
+        return None
+    digits, before = form.count("0"), set(left)
+    if before & NONE_SEEDS:
+        return "none"
+    if before & ID_SEEDS and 5 <= digits <= 15:
+        return "id_number"
+    return "phone" if before & PHONE_SEEDS and 6 <= digits <= 15 else None
+
+
+def _shape(s: str) -> str:
+    return re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "0", s))
 
 
 _LOWER = re.compile(r"(?<![\w.@+\-'’])[a-zß-öø-ÿ]{2,}(?![\w@+\-]|\.\w)")
@@ -169,47 +183,50 @@ def candidates(text: str) -> list[Candidate]:
     def free(a: int, b: int) -> bool:
         return 1 not in taken[a:b]
 
-    def add(pool: str, a: int, b: int, seed: str | None, form: str = "", given: str = "", family: str = "") -> None:
+    def add(pool: str, a: int, b: int, seed: str | None = None, form: str = "", given: str = "", family: str = "") -> None:
         left, right = _around(text, a, b)
+        seed = seed or _seed(pool, text[a:b], left, form)
         out.append(Candidate(pool, text[a:b], seed, left, right, form, given, family, a))
 
-    for m in EMAIL.finditer(text):
-        add("mail", *m.span(), "email", form="address")
-        take(*m.span())
-    for rx in ADDRESS:
+    if "@" in text or "＠" in text or _AT_WORD.search(text):
+        for m in EMAIL.finditer(text):
+            add("mail", *m.span(), form=_sign(m[0]))
+            take(*m.span())
+    has_digit = bool(_DIGIT.search(text))
+    for rx in ADDRESS if has_digit else ():
         for m in rx.finditer(text):
             if free(*m.span()):
-                add("address", *m.span(), "address", form=m["s"].casefold())
+                add("address", *m.span(), form=m["s"].casefold())
                 take(*m.span())
-    for rx, kind in ADDRESS_OPEN:
+    for rx, kind in ADDRESS_OPEN if has_digit else ():
         for m in rx.finditer(text):
             if free(*m.span()):
-                add("address", *m.span(), None, form=kind + m["s"].casefold())
-
-    numbers = {m.span() for m in PHONE.finditer(text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15}
-    numbers |= {m.span() for m in ID.finditer(text)}
-    numbers = [(a, b) for a, b in numbers if free(a, b)]
-    known = bytearray(len(text))
-    for a, b in numbers:
-        known[a:b] = b"\1" * (b - a)
-    doubtful = set()
-    loose = [(*m.span(), 7) for m in PHONE.finditer(text)] + [(*m.span(), TOLD_LEAST) for m in RUN.finditer(text)]
-    for a, b, least in loose:
-        n = sum(c.isalnum() for c in text[a:b])
-        if n < least or sum(c.isdigit() for c in text[a:b]) < 3 or 1 in known[a:b] or not free(a, b):
-            continue
-        if n < RUN_LEAST:
-            if _label(text[max(0, a - 48) : a]) not in ("phone", "id_number"):
+                add("address", *m.span(), form=kind + m["s"].casefold())
+
+    numbers: list[tuple[int, int]] = []
+    short = set()
+    if _THREE_DIGITS.search(text):
+        spans = {m.span() for m in PHONE.finditer(text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15}
+        spans |= {m.span() for m in ID.finditer(text)}
+        numbers = [(a, b) for a, b in spans if free(a, b)]
+        known = bytearray(len(text))
+        for a, b in numbers:
+            known[a:b] = b"\1" * (b - a)
+        loose = [(*m.span(), 7) for m in PHONE.finditer(text)] + [(*m.span(), SHORT_LEAST) for m in RUN.finditer(text)]
+        for a, b, least in loose:
+            n = sum(c.isalnum() for c in text[a:b])
+            if n < least or sum(c.isdigit() for c in text[a:b]) < 3 or 1 in known[a:b] or not free(a, b):
                 continue
-            doubtful.add((a, b))
-        if sum(c.isdigit() for c in text[a:b]) > 15 and _label(text[max(0, a - 48) : a]) == "phone":
-            doubtful.add((a, b))
-        numbers.append((a, b))
-        known[a:b] = b"\1" * (b - a)
+            if n < RUN_LEAST:
+                if not (PHONE_SEEDS | ID_SEEDS) & set(_around(text, a, b)[0]):
+                    continue
+                short.add((a, b))
+            numbers.append((a, b))
+            known[a:b] = b"\1" * (b - a)
     reach = 0
     for a, b in sorted(numbers, key=lambda x: (x[0], -x[1])):
         if b > reach:  # not inside a longer one
-            add("number", a, b, None if (a, b) in doubtful else _label(text[max(0, a - 48) : a]), form=_shape(text[a:b]))
+            add("number", a, b, form=("short " if (a, b) in short else "") + _shape(text[a:b]))
         reach = max(reach, b)
     for a, b in numbers:
         take(a, b)
@@ -228,11 +245,8 @@ def candidates(text: str) -> list[Candidate]:
                 continue
             if rx is PERSON and whole == "a" and (d["p"] or text[a:b].count(" ") > 1):
                 covered = b
-            titled = bool(_TITLE_END.search(text[max(0, a - 32) : a]))
             after = text[b : b + 14]
-            if titled and not family.isupper():
-                seed = "person"
-            elif re.match(r"\s+\d", after) or _STREET_NEXT.match(after) or re.match(r"\s*&", after):
+            if re.match(r"\s+\d", after) or _STREET_NEXT.match(after) or re.match(r"\s*&", after):
                 seed = "none"
             else:
                 seed = None

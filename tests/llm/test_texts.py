@@ -1,9 +1,11 @@
 """Encoding, leaks and personal information against brute force and held-out libraries."""
 
+import os
 import random
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -272,3 +274,28 @@ def test_other_shapes_are_candidates():
     assert seeds("Passport no. 969-86-6801, 12 days") == [("969-86-6801", "id_number")]
     assert seeds("au 12 rue des Ormes La livraison") == [("12 rue des Ormes", "address")]
     assert seeds("au 12 rue Victor Hugo, puis") == [("12 rue Victor Hugo", "address")]
+
+
+@pytest.fixture(scope="module")
+def seeded(spark):
+    """Candidates of ten thousand reviews; patterns need a corpus."""
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables here")
+    return personal.candidates_of(spark.read.parquet(path), "doc_id", "text")
+
+
+def test_half_of_each_kind_is_learned(seeded):
+    found = seeded.join(personal.bootstrap(seeded), "instance").filter(F.col("label").isin(*personal.KINDS))
+    share = {r["label"]: r["s"] for r in found.groupBy("label").agg(F.avg((F.coalesce("seed", F.lit("")) != F.col("label")).cast("int")).alias("s")).collect()}
+    assert share.keys() == set(personal.KINDS) and min(share.values()) > 0.5
+
+
+def test_hidden_seeds_are_found_again(seeded):
+    """Half of all seeds lose their label: the graph gives it back to nearly all of them, and no other."""
+    hidden = F.col("seed").isin(*personal.KINDS) & (F.pmod(F.xxhash64("instance"), F.lit(2)) == 0)
+    labels = personal.bootstrap(seeded.withColumn("seed", F.when(~F.coalesce(hidden, F.lit(False)), F.col("seed")))).select("instance", "label")
+    again = seeded.filter(hidden).join(labels, "instance").groupBy("seed").agg(F.count("*").alias("n"), F.sum((F.col("label") == F.col("seed")).cast("int")).alias("right"), F.sum((F.col("label").isin(*personal.KINDS) & (F.col("label") != F.col("seed"))).cast("int")).alias("wrong"))
+    for r in again.collect():
+        print(r)
+        assert r["wrong"] <= 0.02 * r["n"] and r["right"] >= 0.9 * r["n"]

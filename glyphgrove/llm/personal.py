@@ -35,8 +35,10 @@ KINDS = ("email", "phone", "id_number", "address", "person")
 #: Least confidence of a pattern that labels an instance, and of a form that does so for numbers; distinct labelled
 #: instances that a pattern needs, in general and for names, whose words are common.
 CONFIDENT, SURE_FORM, SUPPORT, NAME_SUPPORT = 0.6, 0.65, 2, 4
-#: Weight of unlabelled instances in a pattern's confidence, by pool: unlabelled numbers and names are mostly none.
-UNKNOWN_WEIGHT = {"mail": 0.05, "address": 0.05, "number": 0.05, "name": 0.25}
+#: Weight of unlabelled instances in a pattern's confidence, and labelled ones against it that every pattern is given, by
+#: pool: unlabelled names are mostly none.
+UNKNOWN_WEIGHT = {"mail": 0.02, "address": 0.02, "number": 0.05, "name": 0.25}
+DOUBT = {"mail": 0.5, "address": 0.5, "number": 0.5, "name": 1.0}
 #: What a pattern of two words counts beside one of three, which knows more of the place.
 SHORT_PATTERN = 0.8
 #: Share of lower-case among a word's uses from which a name with it is taken for none, as long as nothing speaks for it.
@@ -102,14 +104,14 @@ def bootstrap(candidates: DataFrame) -> DataFrame:
     pair = (F.col("pool") == "name") & (F.col("look") != "reversed") & (F.coalesce("seed", F.lit("person")) == "person")
     more = {f"more_{n}": pair & (F.coalesce(n, F.lit(0.0)) >= least) & (F.col(f"{n}_lower") < COMMON) for n, least in (("given", 0.6), ("family", 0.3))}
     counts = F.col("sure") | F.col("role").startswith("c_")
-    unlabelled = F.substring_index("value", "|", 1)
-    unlabelled = F.coalesce(*[F.when(unlabelled == k, F.lit(v)) for k, v in UNKNOWN_WEIGHT.items()])
+    by_pool = lambda values: F.coalesce(*[F.when(F.startswith("value", F.lit(f"{k}|")), F.lit(v)) for k, v in values.items()])
+    unlabelled, doubt = by_pool(UNKNOWN_WEIGHT), by_pool(DOUBT)
     grown = True
     while grown:
         count = [F.sum(((F.col("label") == k) & counts).cast("int")).alias(k) for k in classes]
         weights = edges.join(labels, "instance").groupBy("role", "value").agg(F.count("*").alias("n"), *[F.coalesce(c, F.lit(0)).alias(k) for c, k in zip(count, classes, strict=True)])
         known = sum((F.col(k) for k in classes), F.lit(0))
-        weights = weights.filter(known > 0).select("role", "value", "n", known.alias("known"), *[(F.col(k) / (known + unlabelled * (F.col("n") - known) + 1)).alias(k) for k in classes])
+        weights = weights.filter(known > 0).select("role", "value", "n", known.alias("known"), *[(F.col(k) / (known + unlabelled * (F.col("n") - known) + doubt)).alias(k) for k in classes])
         met = edges.join(apart(weights, "role", "value"), ["role", "value"])
         context = F.col("role").startswith("c_") & (F.col("known") >= F.when(F.startswith("value", F.lit("name|")), NAME_SUPPORT).otherwise(SUPPORT))
         weight = F.when(F.col("role").isin("c_left2", "c_right2"), SHORT_PATTERN).otherwise(1.0)
@@ -139,9 +141,10 @@ def _decide() -> Column:
     context = lambda k: (c(f"context_{k}") >= CONFIDENT) & (c(f"context_{k}") > c("context_none"))
     shape = lambda k: (c(f"form_{k}") >= SURE_FORM) & ~F.startswith("look", F.lit("short ")) & ~against
     few = F.length(F.regexp_replace("look", "[^0]", "")) <= 15
+    other_form = (c("form_id_number") + c("form_none") >= CONFIDENT) & (c("form_phone") < F.greatest(c("form_id_number"), c("form_none")))
     number = (
         F.when(few & context("id_number") & (c("context_id_number") >= c("context_phone")) & (c("form_phone") < CONFIDENT), "id_number")
-        .when(few & ~F.contains("look", F.lit("a")) & (context("phone") | shape("phone")) & (c("form_id_number") < CONFIDENT), "phone")
+        .when(few & ~F.contains("look", F.lit("a")) & (context("phone") | shape("phone")) & ~other_form, "phone")
         .when(few & shape("id_number") & ~context("phone"), "id_number")
         .when(against, "none")
     )

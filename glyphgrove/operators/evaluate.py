@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphgrove.operators.ranks import number_rows
+from glyphgrove.runtime import apart, durable
+
+#: Levels of relevance up to which their summaries are broadcast.
+BROADCAST_LEVELS = 10_000
 
 #: Values of graded labels.
 GRADES = {"Not-Relevant": 0, "Partially-Relevant": 1, "Relevant": 2}
@@ -36,7 +40,7 @@ def judged_only(run: DataFrame, judgments: DataFrame) -> DataFrame:
     """First occurrence (best rank) of each judged item, ranked anew."""
     first = run.groupBy("query_id", "item_id").agg(F.max_by("score", F.struct(-F.col("rank"), F.col("score"))).alias("score"), F.min("rank").alias("_r"))
     kept = first.join(judgments.select("query_id", "item_id").distinct(), ["query_id", "item_id"], "left_semi")
-    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("_r", "item_id"))).drop("_r")
+    return number_rows(kept, ["query_id"], [F.asc("_r"), F.asc("item_id")]).drop("_r")
 
 
 def _with_relevance(run: DataFrame, judgments: DataFrame) -> DataFrame:
@@ -70,24 +74,23 @@ def ndcg_at(run: DataFrame, judgments: DataFrame, k: int = 1000) -> DataFrame:
 
 def ideal_ranking(judgments: DataFrame) -> DataFrame:
     """The best possible run: judged items by relevance, then item descending."""
-    return judgments.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), F.desc("item_id"))))
+    return number_rows(judgments, ["query_id"], [F.desc("relevance"), F.desc("item_id")])
 
 
 def average_precision(run: DataFrame, judgments: DataFrame, least: float = 2.0) -> DataFrame:
     """``query_id, ap``: mean precision at relevant items of the judged part of a run; queries without any give 0."""
     relevant = judgments.filter(F.col("relevance") >= least).groupBy("query_id").agg(F.count("*").alias("_all"))
-    r = _with_relevance(judged_only(run, judgments), judgments).withColumn("_hit", (F.col("relevance") >= least).cast("int"))
-    upto = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    per = r.withColumn("_p", F.col("_hit") * F.sum("_hit").over(upto) / F.col("rank")).groupBy("query_id").agg(F.sum("_p").alias("_s"))
+    hits = _with_relevance(judged_only(run, judgments), judgments).filter(F.col("relevance") >= least).select("query_id", "rank")
+    per = number_rows(hits, ["query_id"], [F.asc("rank")], "_i").groupBy("query_id").agg(F.sum(F.col("_i") / F.col("rank")).alias("_s"))
     return relevant.join(per, "query_id", "left").select("query_id", (F.coalesce("_s", F.lit(0.0)) / F.col("_all")).alias("ap"))
 
 
 def bpref(run: DataFrame, judgments: DataFrame, least: float = 1.0) -> DataFrame:
     """``query_id, bpref``: how rarely judged irrelevant items stand before relevant ones."""
     n = judgments.groupBy("query_id").agg(F.sum((F.col("relevance") >= least).cast("int")).alias("_r"), F.sum((F.col("relevance") < least).cast("int")).alias("_n"))
-    r = _with_relevance(judged_only(run, judgments), judgments).withColumn("_bad", (F.col("relevance") < least).cast("int"))
-    before = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    r = r.withColumn("_b", F.sum("_bad").over(before)).filter("_bad = 0").join(n, "query_id")
+    good = _with_relevance(judged_only(run, judgments), judgments).filter(F.col("relevance") >= least).select("query_id", "rank")
+    # ranks of the judged part have no gaps, so what isn't good before a place is bad
+    r = number_rows(good, ["query_id"], [F.asc("rank")], "_i").withColumn("_b", F.col("rank") - F.col("_i")).join(n, "query_id")
     bound = F.least("_r", "_n")
     part = F.when(bound == 0, 1.0).otherwise(1.0 - F.least("_b", "_r") / bound)
     per = r.groupBy("query_id").agg(F.sum(F.greatest(part, F.lit(0.0))).alias("_s"))
@@ -108,16 +111,17 @@ def to_trec(hits: DataFrame, run: str, *, best_only: bool = False, k: int | None
     ``hits`` has ``query_id, doc_id, position, expr, score, rank``. ``best_only`` keeps of each document the
     occurrences of its first expression. Items are named ``document:position``.
     """
-    w = Window.partitionBy("query_id")
     if best_only:
-        first = F.first("expr").over(Window.partitionBy("query_id", "doc_id").orderBy("rank", "position"))
-        hits = hits.withColumn("_first", first).filter(F.col("expr") == F.col("_first")).drop("_first")
-    order = w.orderBy("rank", "doc_id", "position")
-    out = hits.withColumn("_n", F.row_number().over(order))
+        first = hits.groupBy(F.col("query_id").alias("_q"), F.col("doc_id").alias("_d")).agg(F.min_by("expr", F.struct("rank", "position")).alias("_first"))
+        same = F.col("query_id").eqNullSafe(F.col("_q")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("expr") == F.col("_first"))
+        hits = hits.join(apart(first, "_q", "_d"), same, "left_semi")
+    out = number_rows(hits, ["query_id"], [F.asc("rank"), F.asc("doc_id"), F.asc("position")], "_place")
     if k is not None:
-        out = out.filter(F.col("_n") <= k)
-    dense = F.dense_rank().over(w.orderBy(F.desc("score")))
-    return out.select("query_id", F.concat_ws(":", "doc_id", "position").alias("item_id"), F.col("_n").alias("rank"), (F.lit(1.0) / dense).alias("score"), F.lit(run).alias("run"))
+        out = out.filter(F.col("_place") <= k)
+    out = durable(out)
+    dense = number_rows(out.select("query_id", "score").distinct(), ["query_id"], [F.desc("score")], "_dense").withColumnsRenamed({"query_id": "_q", "score": "_s"})
+    placed = out.join(dense, F.col("query_id").eqNullSafe(F.col("_q")) & F.col("score").eqNullSafe(F.col("_s")))
+    return placed.select("query_id", F.concat_ws(":", "doc_id", "position").alias("item_id"), F.col("_place").alias("rank"), (F.lit(1.0) / F.col("_dense")).alias("score"), F.lit(run).alias("run"))
 
 
 def formulas_to_posts(run: DataFrame, formulas: DataFrame, *, kinds: tuple[str, ...] | None = ("answer",), k: int = 1000) -> DataFrame:
@@ -154,48 +158,76 @@ def split_related(pairs: DataFrame, *, kind: str = "relation") -> tuple[DataFram
 
 def best_per_document(run: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Results that reach the best score of their document, ties kept."""
-    top = F.max("score").over(Window.partitionBy("query_id", doc))
-    return run.withColumn("_top", top).filter(F.col("score") == F.col("_top")).drop("_top")
+    top = run.groupBy(F.col("query_id").alias("_q"), F.col(doc).alias("_d")).agg(F.max("score").alias("_top"))
+    same = F.col("query_id").eqNullSafe(F.col("_q")) & F.col(doc).eqNullSafe(F.col("_d")) & (F.col("score") == F.col("_top"))
+    return run.join(apart(top, "_q", "_d"), same, "left_semi")
 
 
 def relevance_spread(rows: DataFrame, value: str) -> DataFrame:
-    """Five-number summary of a value at each level of relevance."""
-    q = lambda p: F.expr(f"percentile({value}, {p})")
-    return rows.groupBy("relevance").agg(F.count(value).alias("n"), F.min(value).alias("low"), q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"), F.max(value).alias("high"))
-
-
-def fit_weights(features: DataFrame, n: int, *, vector: str = "scores", target: str = "relevance") -> list[float]:
-    """Least-squares weights (constant first) of a vector of ``n`` scores, from sums of products only.
+    """Five-number summary of a value at each level of relevance; null values are left out.
 
-    One aggregate of (n + 1)(n + 4) / 2 sums leaves Spark, whatever the number of rows; rows with a null are left out.
-    A singular system is solved with the smallest weights.
+    Values are numbered over range partitions, so a level with a third of all rows isn't gathered; a quartile is the
+    weighted sum of the one or two values next to its place.
     """
-    import numpy as np
+    some = rows.select("relevance", F.col(value).cast("double").alias("_v"), F.monotonically_increasing_id().alias("_tie")).filter("_v IS NOT NULL")
+    placed = durable(number_rows(some, ["relevance"], [F.asc("_v"), F.asc("_tie")], "_place"))
+    ends = placed.groupBy(F.col("relevance").alias("_g")).agg(F.count("*").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+    near = lambda p: F.sum(F.col("_v") * F.greatest(F.lit(0.0), 1 - F.abs(F.col("_place") - 1 - p * (F.col("n") - 1))))
+    met = placed.join(F.broadcast(ends) if ends.count() <= BROADCAST_LEVELS else apart(ends, "_g"), F.col("relevance").eqNullSafe(F.col("_g")))
+    return met.groupBy("relevance").agg(F.max("n").alias("n"), F.min("low").alias("low"), near(0.25).alias("q1"), near(0.5).alias("q2"), near(0.75).alias("q3"), F.max("high").alias("high"))
 
+
+def _moments(features: DataFrame, n: int, vector: str, target: str) -> tuple[DataFrame, list[Column]]:
+    """Usable rows, and the sums of products over them that a least-squares fit needs."""
     x = [F.lit(1.0), *[F.get(vector, F.lit(i)) for i in range(n)]]
     rows = features.filter(F.col(target).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) >= n))
     cells = [F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i in range(n + 1) for j in range(i, n + 1)]
     cells += [F.sum(x[i] * F.col(target)).alias(f"t{i}") for i in range(n + 1)]
-    r = rows.agg(*cells).first()
+    return rows, [*cells, F.sum(F.col(target) * F.col(target)).alias("y"), F.count("*").alias("n")]
+
+
+def _system(r, n: int):
+    """Matrix, right-hand side, sum of squared targets and number of rows of a row of moments."""
+    import numpy as np
+
     a = np.array([[r[f"s{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(n + 1)] for i in range(n + 1)])
-    return np.linalg.lstsq(a, np.array([r[f"t{i}"] or 0.0 for i in range(n + 1)]), rcond=None)[0].tolist()
+    return a, np.array([r[f"t{i}"] or 0.0 for i in range(n + 1)]), r["y"] or 0.0, r["n"]
+
+
+def fit_weights(features: DataFrame, n: int, *, vector: str = "scores", target: str = "relevance") -> list[float]:
+    """Least-squares weights (constant first) of a vector of ``n`` scores, from sums of products only.
+
+    One aggregate of (n + 1)(n + 4) / 2 sums and a few leaves Spark, whatever the number of rows; rows with a null are
+    left out. A singular system is solved with the smallest weights.
+    """
+    import numpy as np
+
+    rows, cells = _moments(features, n, vector, target)
+    a, b, _, _ = _system(rows.agg(*cells).first(), n)
+    return np.linalg.lstsq(a, b, rcond=None)[0].tolist()
 
 
 def cross_validate(features: DataFrame, folds: list, n: int, *, fold: str = "fold", vector: str = "scores", target: str = "relevance") -> DataFrame:
     """``fold, n_train, n_test, train_mse, test_mse, weights``: weights fitted without each fold and tested on it.
 
-    The folds are a handful of names; each costs two aggregates.
+    Sums of products add up, so one grouped pass serves all folds: a fold's training sums are the total less its own.
+    ``folds`` is a handful of names; errors follow from the same sums. Folds without rows have null errors.
     """
-    rows = []
+    import numpy as np
+
+    rows, cells = _moments(features.filter(F.col(fold).isin(folds)), n, vector, target)
+    own = {r["_fold"]: _system(r, n) for r in rows.groupBy(F.col(fold).alias("_fold")).agg(*cells).collect()}
+    none = (np.zeros((n + 1, n + 1)), np.zeros(n + 1), 0.0, 0)
+    total = [sum(parts) for parts in zip(*(own.values() or [none]), strict=True)]
+
+    def error(w, part) -> float | None:
+        a, b, y, m = part
+        return None if not m else max(0.0, float(y - 2 * w @ b + w @ a @ w) / m)
+
+    out = []
     for f in folds:
-        test = F.col(fold) == F.lit(f)
-        w = fit_weights(features.filter(~test), n, vector=vector, target=target)
-        guess = F.lit(w[0])
-        for i in range(n):
-            guess = guess + F.get(vector, F.lit(i)) * w[i + 1]
-        error = F.pow(guess - F.col(target), 2)
-        r = features.filter(F.col(target).isNotNull()).agg(
-            F.sum((~test).cast("bigint")).alias("a"), F.sum(test.cast("bigint")).alias("b"), F.avg(F.when(~test, error)).alias("c"), F.avg(F.when(test, error)).alias("d")
-        ).first()
-        rows.append((str(f), r["a"], r["b"], r["c"], r["d"], w))
-    return features.sparkSession.createDataFrame(rows, "fold string, n_train bigint, n_test bigint, train_mse double, test_mse double, weights array<double>")
+        test = own.get(f, none)
+        train = tuple(x - y for x, y in zip(total, test, strict=True))
+        w = np.linalg.lstsq(train[0], train[1], rcond=None)[0]
+        out.append((str(f), int(train[3]), int(test[3]), error(w, train), error(w, test), w.tolist()))
+    return features.sparkSession.createDataFrame(out, "fold string, n_train bigint, n_test bigint, train_mse double, test_mse double, weights array<double>")

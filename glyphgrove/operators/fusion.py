@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphgrove.operators.ranks import number_rows
+from glyphgrove.runtime import apart
 
 #: Weights of the combined score, cross-validated on a public test collection: constant, layout, operator.
 WEIGHTS = (0.2930, 0.0861, -0.1694, 1.8469, 0.9657, -0.0153, -0.3301)
@@ -65,9 +66,10 @@ def combine_metrics(runs: list[DataFrame], names: list[str], *, item: str = "ite
 
 def min_max(run: DataFrame) -> DataFrame:
     """Scores of a query moved to 0..1; where all are the same they stay as they are."""
-    w = Window.partitionBy("query_id")
-    low, high = F.min("score").over(w), F.max("score").over(w)
-    return run.withColumn("score", F.when(high == low, F.col("score")).otherwise((F.col("score") - low) / (high - low)))
+    ends = run.groupBy(F.col("query_id").alias("_q")).agg(F.min("score").alias("_low"), F.max("score").alias("_high"))
+    met = run.join(apart(ends, "_q"), F.col("query_id").eqNullSafe(F.col("_q")))
+    moved = F.when(F.col("_high") == F.col("_low"), F.col("score")).otherwise((F.col("score") - F.col("_low")) / (F.col("_high") - F.col("_low")))
+    return met.withColumn("score", moved).drop("_q", "_low", "_high")
 
 
 def min_max_fusion(a: DataFrame, b: DataFrame, *, item: str = "item_id", k: int = RUN_LENGTH) -> DataFrame:
@@ -122,14 +124,13 @@ def combine_with_text(math: DataFrame, text: DataFrame, weight: float | DataFram
     t = F.when(F.col("_has"), F.coalesce("_t", F.lit(0.0))).otherwise(1.0)
     m = F.coalesce(F.get("scores", F.lit(0)), F.lit(0.0))
     out = both.select("query_id", "doc_id", (F.col("_w") * m + (1 - F.col("_w")) * t).alias("score"), F.slice(F.coalesce("scores", F.array(F.lit(0.0))), 2, 99).alias("rest"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("rest"), "doc_id")
-    return out.withColumn("rank", F.row_number().over(w))
+    return number_rows(out, ["query_id"], [F.desc("score"), F.desc("rest"), F.asc("doc_id")])
 
 
 def padded(run: DataFrame, k: int) -> DataFrame:
     """Exactly ``k`` rows for each query: results are repeated in order, with the lowest score, until there are enough."""
-    w = Window.partitionBy("query_id")
-    full = run.withColumn("_n", F.count("*").over(w)).withColumn("_low", F.min("score").over(w))
+    sizes = run.groupBy(F.col("query_id").alias("_q")).agg(F.count("*").alias("_n"), F.min("score").alias("_low"))
+    full = run.join(apart(sizes, "_q"), F.col("query_id").eqNullSafe(F.col("_q"))).drop("_q")
     times = F.explode(F.sequence(F.lit(0), F.floor((F.lit(k) - F.col("rank")) / F.col("_n")).cast("int")))
     again = full.filter(F.col("rank") <= k).withColumn("_turn", times)
     score = F.when(F.col("_turn") == 0, F.col("score")).otherwise(F.col("_low"))

@@ -16,6 +16,7 @@ from glyphgrove.align import pairs
 from glyphgrove.align.constraints import Constraint, parse_constraint
 from glyphgrove.align.matching import Aligner
 from glyphgrove.align.scores import METRICS, SCORES
+from glyphgrove.operators.ranks import number_rows
 from glyphgrove.parse import trees
 from glyphgrove.parse.pairs import WINDOW
 
@@ -125,7 +126,7 @@ def group_ranks(reranked: DataFrame) -> DataFrame:
 def document_ranks(reranked: DataFrame) -> DataFrame:
     """``query_id, doc_id, best, total, rank``: documents by their best vector, then by the sum of first scores."""
     d = reranked.groupBy("query_id", "doc_id").agg(F.max("scores").alias("best"), F.sum(F.get("scores", F.lit(0))).alias("total"))
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("best"), F.desc("total"), "doc_id")))
+    return number_rows(d, ["query_id"], [F.desc("best"), F.desc("total"), F.asc("doc_id")])
 
 
 def query_statistics(grouped: DataFrame, hits: DataFrame) -> DataFrame:

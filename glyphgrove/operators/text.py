@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphgrove.functions.stem import stem_column
+from glyphgrove.runtime import apart, durable
+
+#: Rows up to which a side derived from queries is broadcast; counted before, shuffled beyond.
+BROADCAST_ROWS = 200_000
 
 
 def terms(text: Column) -> Column:
@@ -24,20 +28,20 @@ def term_counts(docs: DataFrame, *, ident: str = "doc_id", text: str = "text") -
     return postings(docs, ident=ident, text=text).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
-def tfidf_search(docs: DataFrame, queries: DataFrame, k: int = 10, *, ident: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "text", small_queries: bool = True) -> DataFrame:
+def tfidf_search(docs: DataFrame, queries: DataFrame, k: int = 10, *, ident: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "text") -> DataFrame:
     """``query_id, doc_id, score, rank``: the ``k`` documents with the greatest sum over shared terms of
     query frequency x (1 + ln tf) x ln(1 + N / df), ties to the smaller document.
 
-    Only the queries' terms leave the scan (``small_queries``: their distinct terms may be broadcast; the caller has
-    counted them). The number of documents counts those with any term.
+    Only the queries' terms leave the scan; they are counted, broadcast up to a limit and shuffled beyond. The number of documents counts those with any term.
     """
-    q = queries.select(F.col(query).alias("query_id"), F.explode(terms(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    side = (lambda d: F.broadcast(d)) if small_queries else (lambda d: d)
+    q = durable(queries.select(F.col(query).alias("query_id"), F.explode(terms(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf")))
+    small = q.count() <= BROADCAST_ROWS
+    side = lambda d: F.broadcast(d) if small else d
     words = postings(docs, ident=ident, text=text)
     total = docs.select(terms(F.col(text)).alias("w")).filter(F.size("w") > 0).count()
-    tf = words.join(side(q.select("term").distinct()), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    tf = durable(words.join(side(q.select("term").distinct()), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf")))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = q.join(side(df) if small_queries else df, "term").select("query_id", "term", (F.col("qf") * F.log(1 + F.lit(float(total)) / F.col("df"))).alias("w"))
+    weighted = q.join(side(df), "term").select("query_id", "term", (F.col("qf") * F.log(1 + F.lit(float(total)) / F.col("df"))).alias("w"))
     scored = tf.join(side(weighted), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * (1 + F.log("tf"))).alias("score"))
     # summation order varies between runs, so ties are decided on rounded sums
     scored = scored.withColumn("score", F.round("score", 9))
@@ -47,8 +51,9 @@ def tfidf_search(docs: DataFrame, queries: DataFrame, k: int = 10, *, ident: str
 
 def normalised(scores: DataFrame) -> DataFrame:
     """Scores divided by the greatest of their query; 0 where that is 0."""
-    top = F.max("score").over(Window.partitionBy("query_id"))
-    return scores.withColumn("score", F.when(top == 0, 0.0).otherwise(F.col("score") / top))
+    top = scores.groupBy(F.col("query_id").alias("_q")).agg(F.max("score").alias("_top"))
+    met = scores.join(apart(top, "_q"), F.col("query_id").eqNullSafe(F.col("_q")))
+    return met.withColumn("score", F.when(F.col("_top") == 0, 0.0).otherwise(F.col("score") / F.col("_top"))).drop("_q", "_top")
 
 
 def keyword_positions(docs: DataFrame, keywords: DataFrame, *, ident: str = "doc_id", text: str = "text", stemmed: bool = False) -> DataFrame:
@@ -58,16 +63,27 @@ def keyword_positions(docs: DataFrame, keywords: DataFrame, *, ident: str = "doc
     return hit.groupBy("query_id", "doc_id", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+def _runs(words: Column, n: int) -> Column:
+    """All ``n`` words in a row, joined by blanks; there must be as many."""
+    return F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
+
+
 def phrase_positions(docs: DataFrame, phrases: DataFrame, *, ident: str = "doc_id", text: str = "text", phrase: str = "phrase") -> DataFrame:
     """``query_id, doc_id, pos``: where the words of a phrase (``query_id, phrase``) follow each other.
 
-    Postings of each word are moved to where the phrase would begin, and places that all words agree on are kept.
+    Each place of a text is looked up with as many words from there as a phrase has, one pass for each length of phrase.
+    Phrases are counted and broadcast up to a limit; beyond it both sides are shuffled by the words.
     """
-    words = phrases.select("query_id", F.posexplode(terms(F.col(phrase))).alias("at", "term"))
-    length = words.groupBy("query_id").agg(F.count("*").alias("n"))
-    hit = postings(docs, ident=ident, text=text).join(words, "term").select("query_id", "doc_id", (F.col("pos") - F.col("at")).alias("pos"))
-    met = hit.groupBy("query_id", "doc_id", "pos").agg(F.count("*").alias("met"))
-    return met.join(length, "query_id").filter(F.col("met") == F.col("n")).select("query_id", "doc_id", "pos")
+    asked = durable(phrases.select("query_id", terms(F.col(phrase)).alias("_w")).filter(F.size("_w") > 0).select("query_id", F.size("_w").alias("_n"), F.array_join("_w", " ").alias("_p")))
+    small = asked.count() <= BROADCAST_ROWS
+    words = docs.select(F.col(ident).alias("doc_id"), terms(F.col(text)).alias("_t"))
+    out = None
+    for n in sorted(r["_n"] for r in asked.select("_n").distinct().collect()):  # as many as there are lengths of phrases
+        places = words.filter(F.size("_t") >= n).select("doc_id", F.posexplode(_runs(F.col("_t"), n)).alias("pos", "_p"))
+        of_length = asked.filter(F.col("_n") == n).select("query_id", "_p")
+        met = places.join(F.broadcast(of_length) if small else of_length, "_p").select("query_id", "doc_id", "pos")
+        out = met if out is None else out.unionByName(met)
+    return out if out is not None else asked.select("query_id", F.lit(None).cast(docs.schema[ident].dataType).alias("doc_id"), F.lit(0).alias("pos")).limit(0)
 
 
 def formula_positions(docs: DataFrame, *, ident: str = "doc_id", text: str = "text") -> DataFrame:

@@ -65,10 +65,13 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     e = source.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
-    name = f"events_{uuid.uuid4().hex}"
-    q = search.event_windows(e).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{checkpoint_dir(spark)}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
+    base = f"{checkpoint_dir(spark)}/events-{uuid.uuid4().hex}"
+    out = search.event_windows(e)
+    spark.createDataFrame([], out.schema).write.parquet(f"{base}/windows")
+    # in this mode a batch holds all windows so far, so that a repeated batch changes nothing
+    q = out.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/windows"))
+    q.option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/windows").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
 QUERIES = {f.__name__: f for f in (record_context, record_queries, record_counts, slowest_queries, query_statistics, event_windows, event_stream)}

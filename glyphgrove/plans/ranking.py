@@ -238,12 +238,16 @@ def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The third to fifth word of each item as a phrase."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(text.terms(F.col("text")), 3, 3), " ").alias("phrase"))
+    """Every three words in a row of each item as a phrase, numbered by item and place."""
+    words = text.terms(F.col("text"))
+    starts = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), F.array_join(F.slice(words, i + 1, 3), " ").alias("phrase"))), lambda p: p["at"] <= F.size(words) - 3)
+    p = table(spark, sf_dir, "benchmark").select("item_id", F.explode(starts).alias("p"))
+    return p.select((F.col("item_id") * 1000 + F.col("p.at")).alias("query_id"), "p.phrase")
 
 
 def keyword_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.get(F.array_sort(text.terms(F.col("text"))), F.lit(12)).alias("term")).filter("term IS NOT NULL")
+    """All distinct terms of each item."""
+    k = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(text.terms(F.col("text")))).alias("term"))
     return text.keyword_positions(table(spark, sf_dir, "documents"), k)
 
 
@@ -406,8 +410,11 @@ tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL), df AS (SELECT
 s AS (SELECT query_id, doc_id, round(sum(qf * ln(1 + n::DOUBLE / df) * (1 + ln(tf))), 9) AS score FROM q JOIN df USING (term) JOIN tf USING (term), n GROUP BY query_id, doc_id)
 SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""",
     "keyword_positions": _TEXT
-    + """SELECT k.query_id, doc_id, term, list(pos::INTEGER ORDER BY pos) AS positions FROM (SELECT query_id, list_sort(w)[13] AS term FROM item) k JOIN tok USING (term) GROUP BY ALL""",
+    + """SELECT k.query_id, doc_id, term, list(pos::INTEGER ORDER BY pos) AS positions FROM (SELECT query_id, unnest(list_distinct(w)) AS term FROM item) k JOIN tok USING (term) GROUP BY ALL""",
     "phrase_positions": _TEXT
-    + """SELECT query_id, a.doc_id, CAST(a.pos AS INTEGER) AS pos FROM item JOIN tok a ON a.term = w[3] JOIN tok b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 AND b.term = w[4]
-JOIN tok c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2 AND c.term = w[5]""",
+    + """, gram AS (
+  SELECT doc_id, pos, term || ' ' || lead(term) OVER (PARTITION BY doc_id ORDER BY pos) || ' ' || lead(term, 2) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM tok
+), asked AS (
+  SELECT query_id * 1000 + i - 1 AS query_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT query_id, w, unnest(range(1, len(w) - 1)) AS i FROM item)
+) SELECT query_id, doc_id, CAST(pos AS INTEGER) AS pos FROM asked JOIN gram USING (g)""",
 }

@@ -10,6 +10,8 @@ from glyphgrove.operators import index as indexing
 from glyphgrove.runtime import spread, table
 
 TOP_K = 10
+#: Expressions of each query that the second stage aligns.
+RERANKED = 1000
 #: Formulas that are asked for: those whose id this divides.
 ASKED = 100
 
@@ -167,7 +169,8 @@ def wildcard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _reranked(spark: SparkSession, sf_dir: str, metric: int = 12) -> DataFrame:
     occ = _visuals(spark, sf_dir)
     asked = _asked(occ)
-    index, hits = _search(occ, asked)
+    index = indexing.build(occ)
+    hits = retrieve.search(index, retrieve.Queries(asked), RERANKED)
     return rerank.rerank(retrieve.expand_hits(index, hits), asked, metric)
 
 
@@ -186,7 +189,8 @@ def pair_metric0(spark: SparkSession, sf_dir: str) -> DataFrame:
 def opt_align_metric12(spark: SparkSession, sf_dir: str) -> DataFrame:
     occ = _operators(spark, sf_dir)
     asked = _asked(occ)
-    index, hits = _search(occ, asked)
+    index = indexing.build(occ)
+    hits = retrieve.search(index, retrieve.Queries(asked), RERANKED)
     r = rerank.rerank(retrieve.expand_hits(index, hits), asked)
     return r.select("query_id", "doc_id", "expr", F.transform("scores", lambda s: F.round(s, 9)).alias("scores"), "rank")
 

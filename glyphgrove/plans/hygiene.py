@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphgrove.operators import orphans, reject_rows, small_files
+from glyphgrove.plans import hygiene_sql
 from glyphgrove.runtime import checkpoint_dir, durable, table
 
 #: Fixed value: the folder where relative paths of ``doc_list`` start.
@@ -117,8 +118,14 @@ SELECT folder, CAST(count(*) AS BIGINT) AS n_files,
   CAST(1 AS BIGINT) AS n_packs, CAST(1 AS BIGINT) AS n_sound
 FROM small WHERE m >= 20 GROUP BY folder"""
 
+_FILES = hygiene_sql.FILES.replace("ROOT", CORPUS_ROOT)
+
 SQL = {
+    "p1_found": _FILES + "SELECT doc_id FROM crowded WHERE m >= 20",
+    "p1_packs": _FILES + "SELECT folder, folder || '/pack-00000-00000' AS pack, count(*) AS n_files, CAST(sum(n) AS BIGINT) AS n_bytes FROM crowded WHERE m >= 20 GROUP BY folder",
     "p1_written": _WRITTEN,
+    "p3_found": hygiene_sql.LINES + "SELECT line_id, CASE WHEN NOT quotes THEN 'quoting' WHEN NOT columns THEN 'columns' ELSE 'value' END AS reason FROM verdict WHERE NOT (quotes AND columns AND good)",
+    "p3_loaded": hygiene_sql.LINES + "SELECT line_id, tag, doc, pos, expression, positions, scores FROM loaded",
     "p6_found": _ORPHANS + "SELECT DISTINCT table_name, field, missing_id, period, reason FROM orphans",
     "p6_counts": _ORPHANS
     + """SELECT table_name, field, period, reason, count(DISTINCT missing_id) AS n_ids, CAST(count(*) AS BIGINT) AS n_references

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphgrove.operators import reject_rows
+from glyphgrove.plans import hygiene_sql
 from glyphgrove.runtime import checkpoint_dir, table
 from glyphgrove.sources import records
 from glyphgrove.streaming import search
@@ -84,6 +85,7 @@ WITH c AS (
 )"""
 
 SQL = {
+    "record_queries": hygiene_sql.LINES + _CONTEXT.replace("\nWITH", ",", 1) + " SELECT l.line_id, query_id, doc, pos, expression, scores FROM loaded l JOIN c USING (line_id) WHERE tag = 'R'",
     "record_context": _CONTEXT + " SELECT line_id, query_id FROM c WHERE split_part(line, chr(9), 1) = 'R'",
     "record_counts": "SELECT split_part(rtrim(line, chr(13)), chr(9), 1) AS tag, count(*) AS n, count(DISTINCT file_name) AS n_files FROM result_lines GROUP BY 1",
     "slowest_queries": """SELECT query_id, max(date_sub('second', retrieved_at, arrived_at)) AS seconds, count(*) AS n FROM runs WHERE arrived_at IS NOT NULL AND retrieved_at IS NOT NULL

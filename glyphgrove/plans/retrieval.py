@@ -293,7 +293,25 @@ _QUERY_CHAINS = f""", qtok AS (
   UNION ALL SELECT query_id, tag, '0!', 'n' FROM qtok WHERE n <= 2 AND i = n
 ), qtup AS (SELECT query_id, from_tag, to_tag, rel, count(*) AS cnt FROM qpair GROUP BY ALL)"""
 
+#: Hits of the second stage, and shared pairs of both trees; trees of one node only have an end of baseline.
+_SECOND = _SEARCH_SLT.replace(f"rank <= {TOP_K}", f"rank <= {RERANKED}")
+_PLAIN = _pairs(4, "none").replace("pair AS", "pair0 AS").replace("tup AS", "tup0 AS").replace("FROM pair GROUP", "FROM pair0 GROUP")
+_ENDED = _pairs(4, "all").replace("pair AS", "pair1 AS").replace("tup AS", "tup1 AS").replace("FROM pair GROUP", "FROM pair1 GROUP")
+_PAIR_DICE = """, asked2 AS (
+  SELECT query_id, expr, height = 0 AS single FROM asked JOIN kind USING (expr)
+), used AS (
+  SELECT expr, FALSE AS single, from_tag, to_tag, rel, cnt FROM tup0 UNION ALL SELECT expr, TRUE, from_tag, to_tag, rel, cnt FROM tup1
+), n_used AS (SELECT expr, single, sum(cnt) AS n FROM used GROUP BY ALL),
+shared AS (
+  SELECT b.query_id, b.expr, sum(least(x.cnt, y.cnt)) AS n FROM best b JOIN asked2 a USING (query_id) JOIN used x ON x.expr = a.expr AND x.single = a.single
+  JOIN used y ON y.expr = b.expr AND y.single = a.single AND y.from_tag = x.from_tag AND y.to_tag = x.to_tag AND y.rel = x.rel GROUP BY ALL
+)
+SELECT b.query_id, o.doc_id, b.expr, [round(coalesce(2.0::DOUBLE * s.n / (p.n + r.n), 0), 9)] AS scores, b.rank
+FROM best b JOIN occ o USING (expr) JOIN asked2 a USING (query_id) LEFT JOIN shared s ON s.query_id = b.query_id AND s.expr = b.expr
+LEFT JOIN n_used p ON p.expr = a.expr AND p.single = a.single LEFT JOIN n_used r ON r.expr = b.expr AND r.single = a.single"""
+
 SQL = {
+    "pair_metric0": _SECOND + _PLAIN + _ENDED + _PAIR_DICE,
     "slt_nodes": _trees(_SLT) + " SELECT expr, path, tag, CAST(length(path) AS INTEGER) AS depth FROM node",
     "slt_tuples": _trees(_SLT) + _pairs() + _SUMMED,
     "slt_tuples_prefix_join": _trees(_SLT) + _pairs() + _SUMMED,

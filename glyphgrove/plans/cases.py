@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphgrove.functions import report
-from glyphgrove.operators import documents, rerank
+from glyphgrove.functions.stem import stem_column
+from glyphgrove.operators import documents, evaluate, fusion, rerank, retrieve
 from glyphgrove.operators import index as indexing
-from glyphgrove.plans.literals import FAILING, LAYOUT, OPERATOR, PAIRS, PLACES, PUBLISHED_PAIRS, SCANNED, SCORES, TOPICS
+from glyphgrove.plans.literals import FAILING, LAYOUT, OPERATOR, PAIRS, PLACES, PUBLISHED_PAIRS, SCANNED, SCORES, STEMS, TOPICS
 from glyphgrove.runtime import checkpoint_dir
 from glyphgrove.sources import documents as sources
 
@@ -105,6 +106,41 @@ def align_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.filter(F.lit(first) == len(PUBLISHED_PAIRS)).select("query_id", F.transform("scores", lambda s: F.round(s, 9)).alias("scores"))
 
 
+def stem_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stems of the examples that the published algorithm gives for its steps."""
+    words = spark.createDataFrame([(w,) for w, _ in STEMS], "word string")
+    return words.select("word", F.get(stem_column(F.array("word")), F.lit(0)).alias("stem"))
+
+
+def wildcard_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wildcard tuples over three expressions."""
+    occ = spark.createDataFrame([(0, 0, "[V!a[+[V!b]]]"), (1, 0, "[V!a[-[V!c]]]"), (2, 0, "[V!a[+[V!a]]]")], "doc_id bigint, position int, expr string")
+    asked = spark.createDataFrame([(1, "[V!a[+[?w]]]"), (2, "[?w[+[V!b]]]"), (3, "[V!a[+[V!b]]]")], "query_id bigint, expr string")
+    hits = retrieve.search(indexing.build(occ), retrieve.Queries(asked), 10, wildcards=True)
+    return hits.select("query_id", F.shiftright("expr_id", 22).alias("doc_id"), F.round("score", 9).alias("score"), "rank")
+
+
+def compat_order_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores ordered as numbers, and as the texts that older runs were ordered by."""
+    run = spark.createDataFrame([("q", i, s) for i, s in enumerate((10.0, 9.5, 1.0, 9.5))], "query_id string, item_id int, score double")
+    old = fusion.ranked(run, compat=True).select("item_id", F.col("rank").alias("old_rank"))
+    return fusion.ranked(run).select("item_id", "rank").join(old, "item_id")
+
+
+def documents_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by their best vector, then by the sum of their first scores."""
+    rows = [("q", 1, [0.5, 1.0]), ("q", 1, [0.25, 0.0]), ("q", 2, [0.5, 1.0]), ("q", 2, [0.5, 0.0]), ("q", 3, [0.75, 0.0]), ("q", 4, [0.5, 1.0]), ("q", 4, [0.25, 0.5])]
+    return rerank.document_ranks(spark.createDataFrame(rows, "query_id string, doc_id int, scores array<double>")).select("doc_id", "total", "rank")
+
+
+def regression_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of a target that is 1 + 2 x - 3 y exactly, fitted without each fold, and their errors."""
+    rows = [(str(i % 3), [float(i % 7), float(i % 5)], 1.0 + 2.0 * (i % 7) - 3.0 * (i % 5)) for i in range(60)]
+    x = spark.createDataFrame(rows, "fold string, scores array<double>, relevance double")
+    r = evaluate.cross_validate(x, ["0", "1", "2"], 2)
+    return r.select("fold", "n_train", "n_test", F.transform("weights", lambda w: F.round(w, 6)).alias("weights"), (F.round("test_mse", 6) + 0.0).alias("test_mse"))
+
+
 def rerank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal vectors, subgroups of equal form and places in them, for one query over all candidate trees."""
     rows = [(1, n, 0, c, 1.0, n + 1) for n, c in enumerate(["[V!a[+[V!b]]]", "[V!x[+[V!y]]]", "[V!x[+[N!1]]]", "[V!p[+[V!q]]]", "[N!2[+[V!y]]]"])]
@@ -122,7 +158,7 @@ def tree_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dot.select("query_id", times("label=").alias("n_labels"), times("->").alias("n_edges"), times("fillcolor").alias("n_coloured"))
 
 
-QUERIES = {f.__name__: f for f in (layout_parse, operator_parse, parse_problems, formula_scan, index_layout, topics_read, align_scores, align_places, align_published, rerank_order, tree_pictures)}
+QUERIES = {f.__name__: f for f in (layout_parse, operator_parse, parse_problems, formula_scan, index_layout, topics_read, align_scores, align_places, align_published, stem_known, wildcard_known, compat_order_known, documents_known, regression_known, rerank_order, tree_pictures)}
 
 
 def _text(x) -> str:
@@ -163,6 +199,12 @@ SQL = {
     "align_scores": _values("query_id BIGINT, metric INTEGER, scores DOUBLE[]", [(n, m, [round(float(x), 9) for x in s]) for n, m, s in SCORES]),
     "align_places": _values("query_id BIGINT, q_exact VARCHAR, q_unified VARCHAR, q_wild VARCHAR, c_exact VARCHAR, c_unified VARCHAR, c_wild VARCHAR", [(n, *p) for n, p in enumerate(PLACES)]),
     "align_published": _values("query_id BIGINT, scores DOUBLE[]", [(n, [round(x, 9) for x in s]) for n, (_, _, _, s) in enumerate(PUBLISHED_PAIRS)]),
+    "stem_known": _values("word VARCHAR, stem VARCHAR", STEMS),
+    # 3 of 3 tuples twice, 1 of 3; then 3 and 1; then 3 of 3 and 1 of 3
+    "wildcard_known": _values("query_id BIGINT, doc_id BIGINT, score DOUBLE, rank INTEGER", [(1, 0, 1.0, 1), (1, 2, 1.0, 2), (1, 1, 0.333333333, 3), (2, 0, 1.0, 1), (2, 2, 0.333333333, 2), (3, 0, 1.0, 1), (3, 2, 0.333333333, 2)]),
+    "compat_order_known": _values("item_id INTEGER, rank INTEGER, old_rank INTEGER", [(0, 1, 3), (1, 2, 1), (3, 3, 2), (2, 4, 4)]),
+    "documents_known": _values("doc_id INTEGER, total DOUBLE, rank INTEGER", [(3, 0.75, 1), (2, 1.0, 2), (1, 0.75, 3), (4, 0.75, 4)]),
+    "regression_known": _values("fold VARCHAR, n_train BIGINT, n_test BIGINT, weights DOUBLE[], test_mse DOUBLE", [(str(f), 40, 20, [1.0, 2.0, -3.0], 0.0) for f in range(3)]),
     # equal; all but the operator unified twice; each side's number left over: the same two symbols match exactly
     "rerank_order": _values("doc_id BIGINT, grp BIGINT, abs_rank BIGINT", [(1, 1, 0), (0, 2, 1), (3, 2, 1), (2, 3, 3), (4, 3, 3)]),
     # a tree has as many labels as nodes and edges, and one edge fewer than nodes

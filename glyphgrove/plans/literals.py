@@ -124,3 +124,11 @@ PUBLISHED_PAIRS = [
     (_B1, _B1.replace("1[V!𝑥],2[V!𝑐]],1[U!plus", "1[U!times,0[N!2],1[V!𝑥]]],1[U!plus").replace("2[V!𝑐]", "2[N!2]"), 0.788991, [0.8376963350785339, 0.8, 0.8421052631578947]),
     (_B1, _B1.replace("1[V!𝑥],2[V!𝑐]],1[U!plus", "1[U!times,0[V!𝑎],1[V!𝑥]],2[V!𝑏]],1[U!plus").replace("2[V!𝑐]", "2[N!3]"), 0.767857, [0.8376963350785339, 0.7619047619047619, 0.8421052631578947]),
 ]
+
+#: Examples of the published stemming algorithm.
+STEMS = [
+    ("caresses", "caress"), ("ponies", "poni"), ("cats", "cat"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("sing", "sing"), ("hopping", "hop"), ("falling", "fall"),
+    ("hissing", "hiss"), ("filing", "file"), ("happy", "happi"), ("sky", "sky"), ("relational", "relat"), ("conditional", "condit"), ("digitizer", "digit"), ("operator", "oper"),
+    ("feudalism", "feudal"), ("hopefulness", "hope"), ("triplicate", "triplic"), ("formalize", "formal"), ("electrical", "electr"), ("goodness", "good"), ("revival", "reviv"), ("adjustable", "adjust"),
+    ("adoption", "adopt"), ("effective", "effect"), ("probate", "probat"), ("rate", "rate"), ("cease", "ceas"), ("controll", "control"), ("roll", "roll"),
+]

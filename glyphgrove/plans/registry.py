@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphgrove.plans import cases, hygiene, interop, ranking, retrieval
+from glyphgrove.plans import cases, files, hygiene, interop, ranking, retrieval
 
-_MODULES = (retrieval, ranking, interop, hygiene, cases)
+_MODULES = (retrieval, ranking, interop, hygiene, cases, files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -34,8 +34,8 @@ def answer_queries(stream: DataFrame, index: Index, sink: Callable[[DataFrame, i
 def append_postings(stream: DataFrame, path: str, *, window: int = tuples.WINDOW, eob: str = "small", checkpoint: str, **trigger) -> StreamingQuery:
     """Expand a stream of ``doc_id, position, expr`` into postings files as it comes.
 
-    Rows have no event time, so expressions are made distinct within a micro-batch only; readers keep the smallest
-    ``expr_id`` of an expression.
+    Rows have no event time, so expressions are made distinct within a micro-batch only; :func:`read_appended` gives each
+    expression one id across batches. A repeated batch overwrites its own files.
     """
 
     def batch(df: DataFrame, number: int) -> None:
@@ -47,6 +47,15 @@ def append_postings(stream: DataFrame, path: str, *, window: int = tuples.WINDOW
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def read_appended(spark, path: str, *, window: int = tuples.WINDOW, eob: str = "small") -> tuple[DataFrame, DataFrame]:
+    """``expressions`` and ``postings`` of the files of :func:`append_postings`; the smallest id of an expression holds."""
+    rows = spark.read.parquet(path)
+    first = rows.groupBy("expr").agg(F.min("expr_id").alias("expr_id"), F.min_by("tuples", "expr_id").alias("tuples"))
+    first = first.withColumn("tc", F.aggregate("tuples", F.lit(0).cast("bigint"), lambda a, t: a + t["cnt"]))
+    postings = first.select("expr_id", "tc", F.explode("tuples").alias("t")).select("t.from", "t.to", "t.rel", "expr_id", "t.cnt", "tc")
+    return first.select("expr_id", "expr", "tc"), postings
+
+
 def event_windows(stream: DataFrame, *, at: str = "ts", key: str = "event_type", value: str = "value", late: str = "10 minutes", every: str = "1 hour") -> DataFrame:
     """Counts and sums of a value per key and window of event time; rows later than ``late`` behind are dropped."""
     w = F.window(at, every)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphgrove.parse import trees
-from glyphgrove.parse.pairs import END, EOB_MODES, WINDOW, expand
+from glyphgrove.parse.pairs import END, EOB_MODES, WINDOW, expand, expand_chain
 
 NODES = "array<struct<path: string, cpath: string, tag: string, depth: int>>"
 TUPLES = "array<struct<from: string, to: string, rel: string, cnt: bigint>>"
@@ -52,7 +52,9 @@ def _nodes(text: str | None) -> list[tuple] | None:
 
 def _counts(text: str | None, window: int, eob: str) -> list[tuple] | None:
     try:
-        found = None if text is None else expand(trees.parse(text), window, eob)
+        found = None if text is None else expand_chain(text, window, eob)
+        if found is None and text is not None:
+            found = expand(trees.parse(text), window, eob)
     except ValueError:
         return None
     return None if found is None else [(a, b, r, n) for (a, b, r), n in found.items()]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 from glyphgrove.functions.tags import run_length
 from glyphgrove.parse import trees
@@ -44,6 +45,22 @@ def expand(root: trees.Tree, window: int = WINDOW, eob: str = "small") -> Counte
     return Counter(found)
 
 
+def expand_chain(text: str, window: int = WINDOW, eob: str = "small") -> Counter[tuple[str, str, str]] | None:
+    """:func:`expand` of a string of symbols that only follow each other, without building its tree; null for others."""
+    n = text.count("[")
+    if not n or not window or "," in text or "U!" in text or text.count("]") != n or not text.endswith("]" * n):
+        return None
+    tags = text[1:-n].split("[")
+    if not text.startswith("[") or not all(tags):
+        return None
+    found: Counter[tuple[str, str, str]] = Counter()
+    for d in range(1, min(window, n - 1) + 1):
+        found.update(zip(tags, tags[d:], repeat("n" * d)))
+    if (eob == "all" or eob == "small" and n <= 2) and not tags[-1].startswith("E!"):
+        found[tags[-1], END, "n"] += 1
+    return found
+
+
 def count_pairs(root: trees.Tree, window: int) -> int:
     """Number of ancestor pairs within a window (0: any distance), without ends of baselines."""
     return sum(min(len(path), window) if window else len(path) for path, _ in trees.visit(root))

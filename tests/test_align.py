@@ -12,7 +12,8 @@ from glyphgrove.align.scores import baseline_place
 from glyphgrove.operators import documents
 from glyphgrove.operators.index import build
 from glyphgrove.operators.rerank import score_pair
-from glyphgrove.parse import markup
+from glyphgrove.parse import markup, trees
+from glyphgrove.parse.pairs import expand, expand_chain
 
 
 def total(worth, way):
@@ -102,3 +103,16 @@ def test_ids_out_of_range_are_an_error(spark, row):
     occ = spark.createDataFrame([(*row, "[V!x]")], "doc_id bigint, position bigint, expr string")
     with pytest.raises(Exception, match="out of range"):
         build(occ)
+
+
+@pytest.mark.parametrize("window", [0, 1, 4])
+@pytest.mark.parametrize("eob", ["small", "all", "none"])
+def test_chains_without_trees(window, eob):
+    rnd = random.Random(3)
+    chains = ["", "[", "[]", "[a]", "[a][b]", "[a[b]]]", "a[b]", "[a[b,c[d]]]", "[U!plus[x]]", "[E!]", "[a[E!]]", "[a[]]"]
+    chains += ["[" + "[".join(rnd.choice(["a", "b", "V!x", "E!", "?w"]) for _ in range(n)) + "]" * n for n in range(1, 12)]
+    for c in chains:
+        got = expand_chain(c, window, eob)
+        if got is not None:
+            assert got == expand(trees.parse(c), window, eob)
+    assert window == 0 or sum(expand_chain(c, window, eob) is not None for c in chains) >= 13

@@ -100,6 +100,19 @@ def rerank(hits: DataFrame, queries: DataFrame, metric: int = 12, *, limit: int
     return found.join(aligned, same).select(*hits.columns, "_m.*")
 
 
+def metric_table(hits: DataFrame, queries: DataFrame, metrics: list[int], **options) -> DataFrame:
+    """``query_id, expr`` and the first score by each metric as ``m<number>``, for fitting or combining them.
+
+    Each metric is computed once per distinct pair of trees; tables meet by query and expression.
+    """
+    pairs_only = hits.select("query_id", "expr", "rank").dropDuplicates(["query_id", "expr"])
+    out = None
+    for m in metrics:
+        part = rerank(pairs_only, queries, m, **options).select("query_id", "expr", F.get("scores", F.lit(0)).alias(f"m{m}"))
+        out = part if out is None else out.join(part, ["query_id", "expr"])
+    return out
+
+
 def shape(expr: Column) -> Column:
     """Tree string without its tags: the same for trees of the same form."""
     return F.regexp_replace(expr, r"\[[^\[\],]*", "[")

@@ -106,6 +106,21 @@ def align_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.filter(F.lit(first) == len(PUBLISHED_PAIRS)).select("query_id", F.transform("scores", lambda s: F.round(s, 9)).alias("scores"))
 
 
+def match_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result pages: how many symbols they show, of query and candidate, and how many of them are coloured."""
+    hits, queries = _hits(spark, PAIRS)
+    p = report.match_page(rerank.rerank(hits, queries, 12, constraint="rule"), queries)
+    times = lambda s: F.expr(f"regexp_count(html, '{s}')").cast("bigint")
+    return p.select("query_id", times("<span").alias("n_symbols"), times("background").alias("n_coloured"))
+
+
+def metrics_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First scores of several metrics side by side."""
+    hits, queries = _hits(spark, PAIRS[:2])
+    t = rerank.metric_table(hits, queries, [0, 1, 4, 12])
+    return t.select("query_id", *[F.round(f"m{m}", 9).alias(f"m{m}") for m in (0, 1, 4, 12)])
+
+
 def stem_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stems of the examples that the published algorithm gives for its steps."""
     words = spark.createDataFrame([(w,) for w, _ in STEMS], "word string")
@@ -158,7 +173,7 @@ def tree_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dot.select("query_id", times("label=").alias("n_labels"), times("->").alias("n_edges"), times("fillcolor").alias("n_coloured"))
 
 
-QUERIES = {f.__name__: f for f in (layout_parse, operator_parse, parse_problems, formula_scan, index_layout, topics_read, align_scores, align_places, align_published, stem_known, wildcard_known, compat_order_known, documents_known, regression_known, rerank_order, tree_pictures)}
+QUERIES = {f.__name__: f for f in (layout_parse, operator_parse, parse_problems, formula_scan, index_layout, topics_read, align_scores, align_places, align_published, match_pages, metrics_combined, stem_known, wildcard_known, compat_order_known, documents_known, regression_known, rerank_order, tree_pictures)}
 
 
 def _text(x) -> str:
@@ -199,6 +214,9 @@ SQL = {
     "align_scores": _values("query_id BIGINT, metric INTEGER, scores DOUBLE[]", [(n, m, [round(float(x), 9) for x in s]) for n, m, s in SCORES]),
     "align_places": _values("query_id BIGINT, q_exact VARCHAR, q_unified VARCHAR, q_wild VARCHAR, c_exact VARCHAR, c_unified VARCHAR, c_wild VARCHAR", [(n, *p) for n, p in enumerate(PLACES)]),
     "align_published": _values("query_id BIGINT, scores DOUBLE[]", [(n, [round(x, 9) for x in s]) for n, (_, _, _, s) in enumerate(PUBLISHED_PAIRS)]),
+    # a page shows the symbols of both trees; those of the candidate are coloured as in its picture
+    "match_pages": _values("query_id BIGINT, n_symbols BIGINT, n_coloured BIGINT", [(0, 6, 2), (1, 6, 3), (2, 13, 8), (3, 8, 2), (4, 6, 3), (5, 6, 1), (6, 6, 3)]),
+    "metrics_combined": _values("query_id BIGINT, m0 DOUBLE, m1 DOUBLE, m4 DOUBLE, m12 DOUBLE", [(0, 0.333333333, 0.666666667, 0.571428571, 0.571428571), (1, 0.0, 0.333333333, 1.0, 1.0)]),
     "stem_known": _values("word VARCHAR, stem VARCHAR", STEMS),
     # 3 of 3 tuples twice, 1 of 3; then 3 and 1; then 3 of 3 and 1 of 3
     "wildcard_known": _values("query_id BIGINT, doc_id BIGINT, score DOUBLE, rank INTEGER", [(1, 0, 1.0, 1), (1, 2, 1.0, 2), (1, 1, 0.333333333, 3), (2, 0, 1.0, 1), (2, 2, 0.333333333, 2), (3, 0, 1.0, 1), (3, 2, 0.333333333, 2)]),

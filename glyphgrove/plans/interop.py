@@ -42,6 +42,19 @@ def record_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).groupBy("tag").agg(F.count("*").alias("n"), F.count_distinct("file").alias("n_files"))
 
 
+def query_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of each query from the ``I`` lines, e.g. its times; values that are no numbers are null."""
+    lines = records.with_context(_lines(spark, sf_dir), "Q", "query_id").filter("tag = 'I'")
+    c = lines.select("file", "query_id", F.get("fields", F.lit(0)).alias("name"), F.get("fields", F.lit(1)).try_cast("double").alias("value"))
+    return c.groupBy("query_id", "name").agg(F.count("value").alias("n"), F.round(F.sum("value"), 6).alias("total"), F.max("value").alias("most"))
+
+
+def merged_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of all files merged: numbers of records and documents add up over files, greatest line numbers don't."""
+    per_file = _lines(spark, sf_dir).groupBy("file", "tag").agg(F.count("*").alias("n"), F.max("line_no").alias("last"))
+    return per_file.groupBy("tag").agg(F.sum("n").alias("n"), F.count("*").alias("n_files"), F.max("last").alias("last"))
+
+
 def slowest_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten queries with the longest time between retrieval and arrival of their results."""
     r = table(spark, sf_dir, "runs").filter("arrived_at IS NOT NULL AND retrieved_at IS NOT NULL")
@@ -75,7 +88,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/windows").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (record_context, record_queries, record_counts, slowest_queries, query_statistics, event_windows, event_stream)}
+QUERIES = {f.__name__: f for f in (record_context, record_queries, record_counts, query_times, merged_statistics, slowest_queries, query_statistics, event_windows, event_stream)}
 
 _WINDOWS = """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL"""
 _CONTEXT = """
@@ -88,6 +101,10 @@ SQL = {
     "record_queries": hygiene_sql.LINES + _CONTEXT.replace("\nWITH", ",", 1) + " SELECT l.line_id, query_id, doc, pos, expression, scores FROM loaded l JOIN c USING (line_id) WHERE tag = 'R'",
     "record_context": _CONTEXT + " SELECT line_id, query_id FROM c WHERE split_part(line, chr(9), 1) = 'R'",
     "record_counts": "SELECT split_part(rtrim(line, chr(13)), chr(9), 1) AS tag, count(*) AS n, count(DISTINCT file_name) AS n_files FROM result_lines GROUP BY 1",
+    "query_times": _CONTEXT
+    + """, i AS (SELECT query_id, split_part(rtrim(line, chr(13)), chr(9), 2) AS name, TRY_CAST(trim(split_part(rtrim(line, chr(13)), chr(9), 3)) AS DOUBLE) AS value FROM c WHERE split_part(rtrim(line, chr(13)), chr(9), 1) = 'I')
+SELECT query_id, name, count(value) AS n, round(sum(value), 6) AS total, max(value) AS most FROM i GROUP BY ALL""",
+    "merged_statistics": "SELECT split_part(rtrim(line, chr(13)), chr(9), 1) AS tag, count(*) AS n, count(DISTINCT coalesce(file_name, '-')) AS n_files, max(line_no) AS last FROM result_lines GROUP BY 1",
     "slowest_queries": """SELECT query_id, max(date_sub('second', retrieved_at, arrived_at)) AS seconds, count(*) AS n FROM runs WHERE arrived_at IS NOT NULL AND retrieved_at IS NOT NULL
 GROUP BY query_id ORDER BY seconds DESC, query_id LIMIT 10""",
     "query_statistics": "SELECT query_id, count(*) AS n_results, count(DISTINCT post_id) AS n_posts, count(DISTINCT run) AS n_runs FROM runs GROUP BY query_id",

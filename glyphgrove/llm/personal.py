@@ -97,9 +97,10 @@ def bootstrap(candidates: DataFrame) -> DataFrame:
     """
     content = candidates.groupBy("instance").agg(F.min("seed").alias("seed"), *[F.first(c).alias(c) for c in ("pool", "left", "right", "form", "given", "family", "given_lower", "family_lower")])
     prior = F.when((F.col("pool") == "name") & (F.greatest("given_lower", "family_lower") >= COMMON), "none")
-    content = durable(content.withColumn("prior", prior))
-    edges = durable(content.select("instance", F.explode(_patterns()).alias("p")).select("instance", "p.role", "p.value"))
-    labels = content.select("instance", F.coalesce("seed", "prior").alias("label"), F.col("seed").isNotNull().alias("sure"))
+    columns = ["instance", "pool", "seed", "prior", "given_lower", "family_lower", "look", "given_name", "patterns"]
+    # an instance takes its patterns along, so that its label is at hand wherever they are counted
+    state = content.withColumns({"prior": prior, "look": F.col("form"), "given_name": F.col("given"), "patterns": _patterns()}).select(*columns)
+    state = durable(state.withColumns({"label": F.coalesce("seed", "prior"), "sure": F.col("seed").isNotNull()}))
     classes = (*KINDS, "none")
     pair = (F.col("pool") == "name") & (F.col("look") != "reversed") & (F.coalesce("seed", F.lit("person")) == "person")
     more = {f"more_{n}": pair & (F.coalesce(n, F.lit(0.0)) >= least) & (F.col(f"{n}_lower") < COMMON) for n, least in (("given", 0.6), ("family", 0.3))}
@@ -109,10 +110,11 @@ def bootstrap(candidates: DataFrame) -> DataFrame:
     grown = True
     while grown:
         count = [F.sum(((F.col("label") == k) & counts).cast("int")).alias(k) for k in classes]
-        weights = edges.join(labels, "instance").groupBy("role", "value").agg(F.count("*").alias("n"), *[F.coalesce(c, F.lit(0)).alias(k) for c, k in zip(count, classes, strict=True)])
+        edges = state.select("instance", "label", "sure", F.explode("patterns").alias("p")).select("instance", "label", "sure", "p.role", "p.value")
+        weights = edges.groupBy("role", "value").agg(F.count("*").alias("n"), *[F.coalesce(c, F.lit(0)).alias(k) for c, k in zip(count, classes, strict=True)])
         known = sum((F.col(k) for k in classes), F.lit(0))
         weights = weights.filter(known > 0).select("role", "value", "n", known.alias("known"), *[(F.col(k) / (known + unlabelled * (F.col("n") - known) + doubt)).alias(k) for k in classes])
-        met = edges.join(apart(weights, "role", "value"), ["role", "value"])
+        met = edges.drop("label", "sure").join(apart(weights, "role", "value"), ["role", "value"])
         context = F.col("role").startswith("c_") & (F.col("known") >= F.when(F.startswith("value", F.lit("name|")), NAME_SUPPORT).otherwise(SUPPORT))
         weight = F.when(F.col("role").isin("c_left2", "c_right2"), SHORT_PATTERN).otherwise(1.0)
         scored = met.groupBy("instance").agg(
@@ -121,13 +123,13 @@ def bootstrap(candidates: DataFrame) -> DataFrame:
             *[F.max(F.when(F.col("role") == r, F.col("person"))).alias(r) for r in ("given", "family")],
             F.max(F.when((F.col("role") == "ending") & (F.col("known") >= NAME_SUPPORT), F.col("person"))).alias("ending"),
         )
-        state = content.select("instance", "pool", "seed", "prior", "given_lower", "family_lower", F.col("form").alias("look"), F.col("given").alias("given_name")).join(scored, "instance", "left")
-        before = labels.select("instance", F.when(F.col("sure") & (F.col("label") != "none"), F.col("label")).alias("kept"))
-        settled = state.join(before, "instance").select("instance", "prior", "kept", F.coalesce("kept", _decide()).alias("told"), *[c.alias(n) for n, c in more.items()])
-        new = (F.col("kept").isNull() & F.coalesce(F.col("told") != "none", F.lit(False))).alias("new")
-        labels = durable(settled.select("instance", F.coalesce("told", "prior").alias("label"), F.col("told").isNotNull().alias("sure"), new, *more))
-        grown = not labels.filter("new").isEmpty()
-    return labels.select("instance", "label", *more)
+        kept = F.when(F.col("sure") & (F.col("label") != "none"), F.col("label"))
+        told = state.join(scored, "instance", "left").withColumn("kept", kept).withColumn("told", F.coalesce("kept", _decide()))
+        new = F.col("kept").isNull() & F.coalesce(F.col("told") != "none", F.lit(False))
+        told = told.withColumns({**more, "new": new, "label": F.coalesce("told", "prior"), "sure": F.col("told").isNotNull()})
+        state = durable(told.select(*columns, "label", "sure", "new", *more))
+        grown = not state.filter("new").isEmpty()
+    return state.select("instance", "label", *more)
 
 
 def _decide() -> Column:
@@ -169,7 +171,7 @@ def _decide() -> Column:
 
 def _instance() -> Column:
     side = lambda c: F.concat_ws(" ", c)
-    return F.md5(F.concat_ws("\x1f", "pool", "found", side("left"), side("right"), "form"))
+    return F.unhex(F.md5(F.concat_ws("\x1f", "pool", "found", side("left"), side("right"), "form")))
 
 
 def candidates_of(docs: DataFrame, ident: str, text: str) -> DataFrame:

@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from glyphgrove.llm import leakage, personal, personal_shapes, tokens
+from tests.skew import large
 
 
 @pytest.fixture(scope="module")
@@ -299,3 +300,14 @@ def test_hidden_seeds_are_found_again(seeded):
     for r in again.collect():
         print(r)
         assert r["wrong"] <= 0.02 * r["n"] and r["right"] >= 0.9 * r["n"]
+
+
+def test_hot_patterns_are_split(spark):
+    """All phones have one pattern of context, as common as a third of all instances."""
+    rnd = random.Random(4)
+    texts = [t for _, t in reviews()] + [f"Call me on ({rnd.randint(200, 999)}) 555-{rnd.randint(1000, 9999)} after six." for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    plain = {tuple(r) for r in personal.find_personal(df).collect()}
+    with large(spark) as split:
+        assert {tuple(r) for r in personal.find_personal(df).collect()} == plain
+        assert split() >= 1

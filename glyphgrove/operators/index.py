@@ -19,6 +19,8 @@ class Index:
     * ``postings(from, to, rel, expr_id, cnt, tc)``  clustered by nothing but the scan; ``tc`` rides along so that
       scores and size bounds need no second join
     * ``occurrences(doc_id, position, expr_id)``
+
+    An index that was just built also has ``rows(expr_id, tc, tuples)``, the postings of an expression in one row.
     """
 
     expressions: DataFrame
@@ -26,6 +28,7 @@ class Index:
     occurrences: DataFrame
     window: int
     eob: str
+    rows: DataFrame | None = None
 
 
 def packed_id(doc: Column, position: Column) -> Column:
@@ -51,7 +54,7 @@ def build(occ: DataFrame, *, doc: str = "doc_id", position: str = "position", ex
     postings = counted.select("expr_id", "tc", F.explode("tuples").alias("t")).select("t.from", "t.to", "t.rel", "expr_id", "t.cnt", "tc")
     expressions = counted.select("expr_id", "expr", "tc")
     places = rows.join(expressions.select("expr", "expr_id"), "expr").select("doc_id", "position", "expr_id")
-    return Index(expressions, postings, places, window, eob)
+    return Index(expressions, postings, places, window, eob, counted.select("expr_id", "tc", "tuples"))
 
 
 def write(index: Index, path: str, *, buckets: int = 256) -> None:

@@ -7,11 +7,11 @@ partial sum per (query, expression).
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphgrove.operators import tuples
+from glyphgrove.operators import wildcards as wild
 from glyphgrove.operators.index import Index
 from glyphgrove.runtime import durable
 
@@ -20,19 +20,18 @@ BROADCAST_ROWS = 500_000
 
 
 class Queries:
-    """Expanded queries: ``exact(query_id, from, to, rel, qcnt)``, ``wild(query_id, from, to, rel, instance)``, ``totals(query_id, qtc)``.
+    """Expanded queries: ``tuples(query_id, from, to, rel, cnt)``, of these ``exact(query_id, from, to, rel, qcnt)``, and ``totals(query_id, qtc)``.
 
-    A tuple with a wildcard on one side is a wildcard tuple, one row per instance. Tuples with wildcards on both
+    A tuple with a wildcard on one side is a wildcard tuple, with ``cnt`` instances. Tuples with wildcards on both
     sides, and ways that begin with ``?``, are dropped and not counted. Queries that aren't trees are left out.
     """
 
     def __init__(self, queries: DataFrame, *, ident: str = "query_id", expr: str = "expr", window: int = tuples.WINDOW, eob: str = "small") -> None:
         t = tuples.tuple_table(queries.select(F.col(ident).alias("query_id"), F.col(expr).alias("expr")), ["query_id"], window=window, eob=eob)
         open_from, open_to = F.col("from").startswith("?"), F.col("to").startswith("?")
-        t = durable(t.filter(~(open_from & open_to) & ~F.col("rel").startswith("?")))
+        t = self.tuples = durable(t.filter(~(open_from & open_to) & ~F.col("rel").startswith("?")))
         self.small = t.count() <= BROADCAST_ROWS
         self.exact = t.filter(~open_from & ~open_to).withColumnRenamed("cnt", "qcnt")
-        self.wild = t.filter(open_from | open_to).select("query_id", "from", "to", "rel", F.explode(F.sequence(F.lit(1), F.col("cnt").cast("int"))).alias("instance"))
         self.totals = t.groupBy("query_id").agg(F.sum("cnt").alias("qtc"))
 
     def side(self, df: DataFrame) -> DataFrame:
@@ -49,55 +48,6 @@ def common_tuples(index: Index, q: Queries) -> DataFrame:
     return met.groupBy("query_id", "expr_id", "tc").agg(F.sum(F.least("cnt", "qcnt")).alias("common"))
 
 
-def common_with_wildcards(index: Index, q: Queries) -> DataFrame:
-    """As :func:`common_tuples`, where wildcard tuples take what exact ones leave.
-
-    Each instance of a wildcard tuple, in the order of its terms, takes one unit from the candidate tuple with the
-    most units left (ties: the smaller tuple), and adds one if there was a unit. Where fewer instances meet a tuple
-    than it has units, no order matters and the instances are counted; only contended pairs are dealt out one by one,
-    over the tuples of one expression.
-    """
-    exact = common_tuples(index, q).withColumn("gained", F.lit(0).cast("bigint"))
-    wild = q.wild.withColumn("open_from", F.col("from").startswith("?"))
-    left = wild.filter("open_from").select("query_id", F.col("from").alias("name"), "to", "rel", "instance")
-    right = wild.filter("NOT open_from").select("query_id", "from", F.col("to").alias("name"), "rel", "instance")
-    p = index.postings
-    hit = p.join(q.side(left), ["to", "rel"]).select("query_id", "expr_id", "tc", "from", "to", "rel", "cnt", "name", "instance", F.lit(0).alias("part"))
-    hit = hit.unionByName(p.join(q.side(right), ["from", "rel"]).select("query_id", "expr_id", "tc", "from", "to", "rel", "cnt", "name", "instance", F.lit(1).alias("part")))
-    used = q.exact.select("query_id", "from", "to", "rel", "qcnt")
-    hit = hit.join(q.side(used), ["query_id", "from", "to", "rel"], "left").withColumn("rest", F.col("cnt") - F.least("cnt", F.coalesce("qcnt", F.lit(0))))
-    hit = hit.filter("rest > 0")
-    # an instance is named by the wildcard tuple's own terms
-    fixed = F.when(F.col("part") == 0, F.col("to")).otherwise(F.col("from"))
-    who = F.struct(F.when(F.col("part") == 0, F.col("name")).otherwise(fixed).alias("a"), F.when(F.col("part") == 0, fixed).otherwise(F.col("name")).alias("b"), "rel", "instance")
-    what = F.struct("from", "to", "rel")
-    pair = ["query_id", "expr_id", "tc"]
-    deals = hit.select(*pair, who.alias("who"), what.alias("what"), "rest").groupBy(*pair).agg(F.sort_array(F.collect_list(F.struct("who", "what", "rest"))).alias("deals"))
-
-    @F.pandas_udf("bigint")
-    def deal(lists: pd.Series) -> pd.Series:
-        return lists.map(_deal)
-
-    gains = deals.select(*pair, F.lit(0).cast("bigint").alias("common"), deal("deals").alias("gained"))
-    return exact.unionByName(gains).groupBy(*pair).agg((F.sum("common") + F.sum("gained")).alias("common"))
-
-
-def _deal(rows) -> int:
-    left: dict[tuple, int] = {}
-    wants: dict[tuple, list[tuple]] = {}
-    for r in rows:
-        what = tuple(r["what"].values())
-        left[what] = r["rest"]
-        wants.setdefault(tuple(r["who"].values()), []).append(what)
-    gained = 0
-    for who in sorted(wants):
-        best = min(wants[who], key=lambda t: (-left[t], t))
-        if left[best] > 0:
-            left[best] -= 1
-            gained += 1
-    return gained
-
-
 def search(index: Index, q: Queries, k: int = 3, *, wildcards: bool = False, least: float = 0.0) -> DataFrame:
     """``query_id, expr_id, score, rank``: the ``k`` best expressions of each query.
 
@@ -105,11 +55,12 @@ def search(index: Index, q: Queries, k: int = 3, *, wildcards: bool = False, lea
     filter lets the optimiser prune to ``k`` rows per query before the shuffle. Queries that share no tuple with any
     expression have no rows. ``least`` drops lower scores.
     """
-    common = common_with_wildcards(index, q) if wildcards else common_tuples(index, q)
+    if wildcards:
+        return wild.best_scores(wild.scores(index, q.tuples, k, least, q.side), k)
+    common = common_tuples(index, q)
     scored = common.join(q.side(q.totals), "query_id").filter((F.col("common") <= F.col("tc")) & (F.col("common") <= F.col("qtc")))
     scored = scored.select("query_id", "expr_id", _dice(F.col("common"), F.col("tc"), F.col("qtc")).alias("score")).filter(F.col("score").between(least, 1.0))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "expr_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return wild.best_scores(scored, k)
 
 
 def size_bounds(q: Queries, least: float) -> DataFrame:
